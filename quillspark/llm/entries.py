@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quillspark.llm import media, substring_dedup
+from quillspark.llm import media, mixing, simhash, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op5_media_png": media.op5_query,
         "op6_substring_dedup": substring_dedup.op6_query,
+        "op8_source_mixing": mixing.op8_query,
+        "op9_simhash_tiles": simhash.op9_query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_source_mixing": mixing.OP8_SQL}
