@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import media, mixing, simhash, substring_dedup
+from quillspark.llm import media, mixing, secrets, simhash, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op4_secret_markov": secrets.op4_query,
         "op5_media_png": media.op5_query,
         "op6_substring_dedup": substring_dedup.op6_query,
         "op8_source_mixing": mixing.op8_query,
