@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quillspark.llm import media, mixing, secrets, simhash, substring_dedup
+from quillspark.llm import decontaminate, media, mixing, quality, secrets, simhash, substring_dedup
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
+        "op3_template_leaks": decontaminate.op3_query,
         "op4_secret_markov": secrets.op4_query,
         "op5_media_png": media.op5_query,
         "op6_substring_dedup": substring_dedup.op6_query,
+        "op7_quality_pu": quality.op7_query,
         "op8_source_mixing": mixing.op8_query,
         "op9_simhash_tiles": simhash.op9_query,
     }
