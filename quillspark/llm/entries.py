@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, media, mixing, quality, secrets, simhash, substring_dedup
+from quillspark.llm import decontaminate, media, mixing, pii, quality, secrets, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_quality_pu": quality.op7_query,
         "op8_source_mixing": mixing.op8_query,
         "op9_simhash_tiles": simhash.op9_query,
+        "op10_pii_offsets": pii.op10_query,
     }
 
 
