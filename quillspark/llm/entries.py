@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import decontaminate, lm_scoring, media, mixing, pii, quality, secrets, simhash, substring_dedup
+from quillspark.llm import decontaminate, html_extract, lm_scoring, media, mixing, pii, quality, secrets, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_suffix_tree": lm_scoring.op1_query,
+        "op2_html_tree": html_extract.op2_query,
         "op3_template_leaks": decontaminate.op3_query,
         "op4_secret_markov": secrets.op4_query,
         "op5_media_png": media.op5_query,
