@@ -38,44 +38,86 @@ _OUT = "doc_id long, item_id long, coverage double, exact boolean"
 
 def canonical(word: str) -> tuple[str, str, bool]:
     """A word to (template token, plain token, is a slot); ("", "", False) if it is marks only."""
-    bare = _EDGE.sub("", word)
-    if not bare or not any(map(str.isalnum, bare)):
-        return "", "", False
+    bare = word.lstrip("!\"#%&'()*,./:;<=>?@[\\]^_`{|}~").rstrip("!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    if not bare.isalnum():
+        bare = _EDGE.sub("", bare)
+        if not any(map(str.isalnum, bare)):
+            return "", "", False
     plain = bare.lower()
-    if _NUMBER.fullmatch(bare) or plain in NUMBERS:
+    if plain in NUMBERS:
         return "<number>", plain, True
-    if (m := _NUMBER_UNIT.fullmatch(bare)) and m[2].lower() in UNITS:
-        return "<number-unit>", plain, True
     if plain in UNITS and len(plain) > 1:
         return "<unit>", plain, True
+    if bare.isalpha():
+        if bare.istitle() and len(bare) > 1:
+            return "<name>", plain, True
+        return plain, plain, False
+    if _NUMBER.fullmatch(bare):
+        return "<number>", plain, True
+    if (m := _NUMBER_UNIT.fullmatch(bare)) and m[2].lower() in UNITS:
+        return "<number-unit>", plain, True
     if len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
         return "<name>", plain, True
     return plain, plain, False
 
 
 class _Words(dict):
-    """Word bytes to (template hash, plain hash, slot, plain token); cleared when large."""
+    """Word bytes to a row of the lists below, which the caller clears when they are large."""
 
-    def __missing__(self, word: bytes):
+    def __init__(self):
+        self.template, self.plain, self.slot, self.token = [], [], [], []
+
+    def __missing__(self, word: bytes) -> int:
         template, plain, slot = canonical(word.decode("utf-8", "replace"))
         digest = xxhash.xxh64_intdigest
-        value = self[word] = (digest(template.encode()), digest(plain.encode(), 1), slot, plain)
+        self.template.append(digest(template.encode()))
+        self.plain.append(digest(plain.encode(), 1))
+        self.slot.append(slot)
+        self.token.append(plain)
+        value = self[word] = len(self.token) - 1
         return value
 
+    def reset(self) -> None:
+        self.clear()
+        self.__init__()
+
+
+class _View:
+    """Tokens of some texts in a row, marks left out, and the window hashes that stay within a text."""
+
+    def __init__(self, raws: list[bytes], words: _Words):
+        parts = [np.fromiter(map(words.__getitem__, w), np.int64, len(w)) for w in map(bytes.split, raws)]
+        ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        real = np.fromiter(map(bool, words.token), bool, len(words.token))[ids]
+        self.ids, self.owner, self.words = ids[real], owner[real], words
+        slot = np.array(words.slot, np.int8)[self.ids]
+        self.t = rolling(np.array(words.template, np.uint64)[self.ids], WIDTH)
+        self.p = rolling(np.array(words.plain, np.uint64)[self.ids], WIDTH)
+        n = len(self.t)
+        self.within = self.owner[:n] == self.owner[WIDTH - 1 :] if n else np.empty(0, bool)
+        slots = sum(slot[d : d + n] for d in range(WIDTH)) if n else np.empty(0, np.int8)
+        self.usable = self.within & (slots <= WIDTH - 2)
 
-def _view(raw: bytes, words: _Words):
-    got = [v for v in map(words.__getitem__, raw.split()) if v[3]]
-    n = len(got)
-    template = np.fromiter((v[0] for v in got), np.uint64, n)
-    plain = np.fromiter((v[1] for v in got), np.uint64, n)
-    slot = np.fromiter((v[2] for v in got), np.int64, n)
-    t, p = rolling(template, WIDTH), rolling(plain, WIDTH)
-    if len(t):
-        slots = np.convolve(slot, np.ones(WIDTH, np.int64), "valid")
-        usable = slots <= WIDTH - 2
-    else:
-        usable = np.empty(0, bool)
-    return got, t, p, usable
+    def token(self, at: int) -> str:
+        return self.words.token[self.ids[at]]
+
+
+class _Known:
+    """Membership of hashes: a bit table of fixed size first, then the sorted hashes."""
+
+    def __init__(self, hashes):
+        self.sorted = np.array(sorted(hashes), np.uint64)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.sorted & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def hits(self, hashes: np.ndarray, usable: np.ndarray) -> np.ndarray:
+        if not len(self.sorted) or not len(hashes):
+            return np.empty(0, np.int64)
+        maybe = np.flatnonzero(self.table[(hashes & np.uint64(0xFFFFF)).view(np.int64)] & usable)
+        at = np.searchsorted(self.sorted, hashes[maybe])
+        at[at == len(self.sorted)] = 0
+        return maybe[self.sorted[at] == hashes[maybe]]
 
 
 class Index:
@@ -84,53 +126,62 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         words, self.template, self.plain, self.items = _Words(), defaultdict(list), defaultdict(list), []
         for item_id, text in items:
-            got, t, p, usable = _view((text or "").encode(), words)
-            if not len(t):
+            view = _View([(text or "").encode()], words)
+            if not len(view.t):
                 continue
             k = len(self.items)
-            self.items.append((item_id, len(t), [(v[3], v[2]) for v in got]))
-            for i, (a, b, u) in enumerate(zip(t.tolist(), p.tolist(), usable.tolist(), strict=True)):
+            self.items.append((item_id, len(view.t), [(words.token[i], words.slot[i]) for i in view.ids]))
+            for i, (a, b, u) in enumerate(zip(view.t.tolist(), view.p.tolist(), view.usable.tolist(), strict=True)):
                 if u:
                     self.template[a].append((k, i))
                 self.plain[b].append((k, i))
-        self.hashes_t = np.array(sorted(self.template), np.uint64)
-        self.hashes_p = np.array(sorted(self.plain), np.uint64)
+        self.known_t, self.known_p = _Known(self.template), _Known(self.plain)
 
-    def _hits(self, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-        if not len(known) or not len(hashes):
-            return np.empty(0, np.int64)
-        at = np.searchsorted(known, hashes)
-        at[at == len(known)] = 0
-        return np.flatnonzero(known[at] == hashes)
-
-    def find(self, raw: bytes, words: _Words) -> list[tuple[int, float, bool]]:
-        """(item_id, share of its windows found, all found in plain words) of the items in a text."""
-        got, t, p, usable = _view(raw, words)
+    def find_all(self, raws: list[bytes], words: _Words) -> list[tuple[int, int, float, bool]]:
+        """(text number, item_id, share of its windows found, all found in plain words)."""
+        view = _View(raws, words)
         in_plain, in_template = defaultdict(set), defaultdict(list)
-        for j in self._hits(p, self.hashes_p).tolist():
-            for k, i in self.plain[int(p[j])]:
-                in_plain[k].add(i)
-        for j in self._hits(np.where(usable, t, 0), self.hashes_t).tolist():
-            for k, i in self.template.get(int(t[j]), ()):
-                in_template[k].append((i, j))
+        for j in self.known_p.hits(view.p, view.within).tolist():
+            for k, i in self.plain[int(view.p[j])]:
+                in_plain[int(view.owner[j]), k].add(i)
+        for j in self.known_t.hits(view.t, view.usable).tolist():
+            for k, i in self.template[int(view.t[j])]:
+                in_template[int(view.owner[j]), k].append((i, j))
         out = []
-        for k in sorted(in_plain.keys() | in_template.keys()):
-            item_id, n, tokens = self.items[k]
-            plain = len(in_plain.get(k, ())) / n
-            best = plain
-            if plain < 1 and len({i for i, _ in in_template.get(k, ())} | in_plain.get(k, set())) >= COVER * n:
+        for at in sorted(in_plain.keys() | in_template.keys()):
+            item_id, n, tokens = self.items[at[1]]
+            plain, pairs = in_plain.get(at, set()), in_template.get(at, [])
+            best = len(plain) / n
+            if best < 1 and len({i for i, _ in pairs} | plain) >= COVER * n:
                 fillers = defaultdict(Counter)
-                for i, j in in_template[k]:
+                for i, j in pairs:
                     for d in range(WIDTH):
                         if tokens[i + d][1]:
-                            fillers[tokens[i + d][0]][got[j + d][3]] += 1
+                            fillers[tokens[i + d][0]][view.token(j + d)] += 1
                 chosen = {b: max(sorted(c), key=c.get) for b, c in fillers.items()}
-                fits = lambda i, j: all(not tokens[i + d][1] or chosen[tokens[i + d][0]] == got[j + d][3] for d in range(WIDTH))
-                best = len({i for i, j in in_template[k] if fits(i, j)} | in_plain.get(k, set())) / n
+                fits = lambda i, j: all(not tokens[i + d][1] or chosen[tokens[i + d][0]] == view.token(j + d) for d in range(WIDTH))
+                best = len({i for i, j in pairs if fits(i, j)} | plain) / n
             if best >= COVER:
-                out.append((item_id, best, plain == 1))
+                out.append((at[0], item_id, best, len(plain) == n))
         return out
 
+    def find(self, raw: bytes) -> list[tuple[int, float, bool]]:
+        return [x[1:] for x in self.find_all([raw], _Words())]
+
+    def find_in(self, raws: list[bytes], words: _Words, step: int = 4 << 20):
+        """find_all() over all texts, about step bytes at a time, so that memory stays bounded."""
+        at = 0
+        while at < len(raws):
+            end, size = at, 0
+            while end < len(raws) and size < step:
+                size += len(raws[end])
+                end += 1
+            for i, *found in self.find_all(raws[at:end], words):
+                yield at + i, *found
+            if len(words) > 300_000:
+                words.reset()
+            at = end
+
 
 def slices(benchmark: DataFrame, chars: int = SLICE_CHARS):
     """Lists of (item_id, text) of bounded text; rows come one partition at a time."""
@@ -151,11 +202,8 @@ def _finder(index: Index):
 
         words = _Words()
         for b in batches:
-            out = []
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), shared.text_bytes(b.column("text")), strict=True):
-                out += [(doc_id, *found) for found in index.find(raw, words)]
-                if len(words) > 200_000:
-                    words.clear()
+            ids = b.column("doc_id").to_pylist()
+            out = [(ids[i], *found) for i, *found in index.find_in(shared.text_bytes(b.column("text")), words)]
             columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "coverage", "exact"])
 
@@ -183,12 +231,10 @@ def filter_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             words = _Words()
             for b in batches:
-                clean = []
-                for raw in shared.text_bytes(b.column(at)):
-                    clean.append(not index.find(raw, words))
-                    if len(words) > 200_000:
-                        words.clear()
-                yield b.filter(pa.array(clean, pa.bool_()))
+                clean = np.ones(b.num_rows, bool)
+                for i, *_ in index.find_in(shared.text_bytes(b.column(at)), words):
+                    clean[i] = False
+                yield b.filter(pa.array(clean))
 
         return run
 
