@@ -110,6 +110,11 @@ def fill_rate(font: Column, res: Column, pages: Column, num_lines: Column, avg_l
     return F.least(F.lit(1.5), vertical, font * CHAR_WIDTH * avg_line / _inner(res))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def nearest_resolution(target: Column, per_image=image_tokens_a) -> Column:
     """Page size whose tokens are nearest to the target; ties go to the smallest."""
     scored = F.transform(resolutions(), lambda r: F.struct(F.abs(per_image(r, r) - target).alias("off"), r.alias("res")))
@@ -120,11 +125,12 @@ def nearest_larger(target: Column, per_image=image_tokens_b, tolerance: float =
     """As nearest_resolution, but the largest of those within 1.2 of the least difference if their
     tokens are within the tolerance of each other."""
     scored = F.transform(resolutions(), lambda r: F.struct(F.abs(per_image(r, r) - target).alias("off"), r.alias("res"), per_image(r, r).alias("tokens")))
-    best = F.array_min(scored)
-    close = F.filter(scored, lambda s: s["off"] <= best["off"] * 1.2)
-    sizes = F.transform(close, lambda s: s["tokens"])
-    alike = F.array_max(sizes) <= F.array_min(sizes) * tolerance
-    return F.when(alike, F.array_max(F.transform(close, lambda s: s["res"]))).otherwise(best["res"])
+
+    def choose(close):
+        low, high = F.element_at(close, 1), F.element_at(close, -1)  # in order of size, so of tokens
+        return F.when(high["tokens"] <= low["tokens"] * tolerance, high["res"]).otherwise(F.array_min(close)["res"])
+
+    return _let(scored, lambda all_: _let(F.array_min(all_)["off"] * 1.2, lambda most: _let(F.filter(all_, lambda s: s["off"] <= most), choose)))
 
 
 def layout_pages(sizes: Column, res: Column, font: Column, line_height: float = 1.0) -> tuple[Column, Column]:

@@ -90,7 +90,7 @@ def word_codes(ref: Column, hyp: Column) -> tuple[Column, Column]:
     """Both texts with each distinct word as one character, for the built-in; up to 20,992 distinct words."""
     a, b = word_list(ref), word_list(hyp)
     known = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.decode(F.unhex(F.hex(F.lit(19967) + F.array_position(known, w))), F.lit("UTF-16BE"))
+    code = lambda w: F.decode(F.unhex(F.hex(F.lit(19967) + F.array_position(known, w))), "UTF-16BE")
     return F.array_join(F.transform(a, code), ""), F.array_join(F.transform(b, code), "")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import layout as L
+from quillspark.scratch import checkpointed
 
 # Upper bound of target tokens, tolerated shares, penalty (variant b).
 BANDS_A = ((50, 0.5, 2.0), (100, 0.7, 1.5), (3000, 0.8, 1.25), (5000, 0.9, 1.12), (None, 0.95, 1.05))
@@ -108,7 +109,7 @@ def plan_ratios(docs: DataFrame, ratios=(1.0, 2.0, 4.0, 8.0), search=search_b) -
             got = state.select("tokens", F.lit(0.0).alias("ratio"), F.lit(14).alias("res"), F.lit(0).alias("font"), F.lit(1).alias("pages"))
         else:
             targets = state.select(F.col("tokens").alias("k"), (F.col("tokens") / ratio).alias("target"), "tokens", F.lit(float(ratio)).alias("ratio"), "used")
-            found = search(targets).withColumnRenamed("k", "tokens")
+            found = checkpointed(search(targets).withColumnRenamed("k", "tokens"))  # the next ratio reads it twice
             state = state.join(found, "tokens").select("tokens", F.concat("used", F.array(F.struct("res", "pages"))).alias("used"))
             got = found.select("tokens", F.lit(float(ratio)).alias("ratio"), "res", "font", "pages")
         plans = got if plans is None else plans.unionByName(got)

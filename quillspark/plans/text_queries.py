@@ -97,7 +97,7 @@ def extract_json(spark, sf_dir):
 
 @query("file_names", r"""
 SELECT page_id, CASE WHEN trim(url) = '' THEN 'model' ELSE substr(regexp_replace(trim(url), '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) END AS safe, replace(url, '/', '_') AS flat,
-  'dataset_' || substr(regexp_replace(trim(url), '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) || '.json' AS dataset, 'page_' || lpad(CAST(page_id AS VARCHAR), greatest(3, length(CAST(page_id AS VARCHAR))), '0') || '_ratio1.5.png' AS png FROM pages""")
+  'dataset_' || substr(regexp_replace(trim(url), '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) || '.json' AS dataset, 'page_' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(3, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || '_ratio1.5.png' AS png FROM pages""")
 def file_names(spark, sf_dir):
     url = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", X.safe_filename(url).alias("safe"), X.flat_filename(url).alias("flat"), writers.dataset_name(url).alias("dataset"), writers.page_name(F.col("page_id"), F.lit(1.5)).alias("png"))
@@ -105,7 +105,7 @@ def file_names(spark, sf_dir):
 
 @query("page_groups", r"""
 WITH p AS (SELECT 'case' || (page_id % 40) AS code_id, CASE page_id % 3 WHEN 0 THEN 1.0e0 WHEN 1 THEN 1.5e0 ELSE 2.0e0 END AS ratio, page_id,
-  'out/case' || (page_id % 40) || '/img/page_' || lpad(CAST(page_id AS VARCHAR), greatest(3, length(CAST(page_id AS VARCHAR))), '0') || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_ratio1.5' ELSE '_ratio2' END || '.png' AS path FROM pages)
+  'out/case' || (page_id % 40) || '/img/page_' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(3, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_ratio1.5' ELSE '_ratio2' END || '.png' AS path FROM pages)
 SELECT code_id, ratio, CAST(count(*) AS INTEGER) AS num_pages, string_agg(path, '|' ORDER BY page_id) AS paths FROM p GROUP BY code_id, ratio""")
 def page_groups(spark, sf_dir):
     part = F.element_at(F.array(F.lit(""), F.lit("_ratio1.5"), F.lit("_ratio2")), (F.col("page_id") % 3 + 1).cast("int"))

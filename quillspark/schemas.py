@@ -14,13 +14,13 @@ SYMBOLS = "()[]{},.:;="
 GROUND_TRUTH = T.StructType().add("id", "string").add("code", "string")
 USAGE = T.MapType(T.StringType(), T.LongType())
 OCR_RESULT = (
-    T.StructType().add("code_id", "string").add("ratio", "double").add("text", "string").add("error", "string").add("num_pages", "int")
+    T.StructType().add("code_id", "string").add("ratio", "double").add("text", "string").add("error", "string").add("num_pages", "integer")
     .add("image_paths", T.ArrayType(T.StringType())).add("image_path", "string").add("model", "string").add("finish_reason", "string").add("usage", USAGE)
 )
 TOKENS = T.StructType().add("prompt_tokens", "long").add("completion_tokens", "long").add("total_tokens", "long")
 COMPLETION_RESULT = (
     T.StructType().add("id", "string").add("gt", "string").add("output", "string").add("es", "double").add("em", "double")
-    .add("compression_ratio", "double").add("resolution", "int").add("mode", "string").add("tokens", TOKENS)
+    .add("compression_ratio", "double").add("resolution", "integer").add("mode", "string").add("tokens", TOKENS)
 )
 QA_ITEM = T.StructType().add("repo", "string").add("context", "string").add("question", "string").add("options", T.MapType(T.StringType(), T.StringType())).add("answer", "string").add("is_hard", "boolean")
 CLONE_RESULT = T.StructType().add("mode", "string").add("pred", "boolean").add("label", "boolean")
