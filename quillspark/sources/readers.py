@@ -16,14 +16,14 @@ from quillspark.operators import relational, retrieval
 
 def code_files(spark: SparkSession, path: str) -> DataFrame:
     """Files as (path, code, language); one row per whole file."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code")).withColumn("language", X.language_of(F.col("path")))
 
 
 def code_or_sample(spark: SparkSession, code: str | None = None, path: str | None = None, sample: str = "") -> DataFrame:
     """A given string, else a file, else a sample; blank input raises ValueError."""
     if code is None and path is not None:
-        rows = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("code"))
+        rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("code"))
         if rows.where(~X.is_blank(F.col("code"))).isEmpty():
             raise ValueError(f"{path} is empty")
         return rows
