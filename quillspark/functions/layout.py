@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let
+
 # Fixed values of the cost model.
 CHARS_PER_TOKEN, CHAR_WIDTH, MARGIN = 3.5, 0.6, 0.01
 MIN_FONT, MAX_FONT = 4, 150
@@ -47,7 +49,7 @@ def line_lengths(x: Column) -> Column:
 
 def structure(x: Column) -> dict[str, Column]:
     """Lines, longest and mean line, characters."""
-    sizes = line_lengths(x)
+    sizes = line_lengths(x)  # plain expressions: the projection computes it once
     return {"num_lines": F.size(sizes).cast("long"), "max_line_chars": F.array_max(sizes).cast("long"), "avg_line_chars": F.aggregate(sizes, F.lit(0).cast("long"), lambda s, n: s + n) / F.size(sizes), "total_chars": F.length(x).cast("long")}
 
 
@@ -110,11 +112,6 @@ def fill_rate(font: Column, res: Column, pages: Column, num_lines: Column, avg_l
     return F.least(F.lit(1.5), vertical, font * CHAR_WIDTH * avg_line / _inner(res))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def nearest_resolution(target: Column, per_image=image_tokens_a) -> Column:
     """Page size whose tokens are nearest to the target; ties go to the smallest."""
     scored = F.transform(resolutions(), lambda r: F.struct(F.abs(per_image(r, r) - target).alias("off"), r.alias("res")))
@@ -130,7 +127,7 @@ def nearest_larger(target: Column, per_image=image_tokens_b, tolerance: float =
         low, high = F.element_at(close, 1), F.element_at(close, -1)  # in order of size, so of tokens
         return F.when(high["tokens"] <= low["tokens"] * tolerance, high["res"]).otherwise(F.array_min(close)["res"])
 
-    return _let(scored, lambda all_: _let(F.array_min(all_)["off"] * 1.2, lambda most: _let(F.filter(all_, lambda s: s["off"] <= most), choose)))
+    return let(scored, lambda all_: let(F.array_min(all_)["off"] * 1.2, lambda most: let(F.filter(all_, lambda s: s["off"] <= most), choose)))
 
 
 def layout_pages(sizes: Column, res: Column, font: Column, line_height: float = 1.0) -> tuple[Column, Column]:

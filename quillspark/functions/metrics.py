@@ -121,8 +121,14 @@ def edit_similarity(target: Column, prediction: Column, any_length: bool = True)
     """0 to 100 over stripped lines; comments leave the prediction, which is cut to the target's lines."""
     want = _target_lines(target)
     a, b = F.array_join(want, "\n"), F.array_join(_prediction_lines(prediction, want), "\n")
+    if not any_length:
+        return X.let(F.struct(a.alias("a"), b.alias("b")), lambda p: _similarity(p["a"], p["b"], F.levenshtein(p["a"], p["b"])))
+    return _similarity(a, b, edit_distance(a, b))
+
+
+def _similarity(a: Column, b: Column, distance: Column) -> Column:
     both, one = (a == "") & (b == ""), (a == "") | (b == "")
-    return F.when(both, 100.0).when(one, 0.0).otherwise((1 - edit_distance(a, b, any_length) / F.greatest(F.length(a), F.length(b))) * 100)
+    return F.when(both, 100.0).when(one, 0.0).otherwise((1 - distance / F.greatest(F.length(a), F.length(b))) * 100)
 
 
 def exact_match(target: Column, prediction: Column) -> Column:
@@ -133,8 +139,8 @@ def exact_match(target: Column, prediction: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+    part = lambda p: X.let(F.sqrt(dot(p["a"], p["a"]) * dot(p["b"], p["b"])), lambda size: F.when(size > 0, dot(p["a"], p["b"]) / size).otherwise(0.0))
+    return X.let(F.struct(a.alias("a"), b.alias("b")), part)
 
 
 def option_probability(log_a: Column, log_b: Column) -> tuple[Column, Column]:

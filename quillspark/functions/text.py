@@ -14,6 +14,11 @@ FENCE = "`" * 3
 BOX_OPEN, BOX_CLOSE = "<|begin_of_box|>", "<|end_of_box|>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: conditions and lambdas would compute it again at each mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
 
@@ -33,14 +38,18 @@ def lines(x: Column) -> Column:
 
 def split_lines(x: Column) -> Column:
     """Lines by any line end; a final line end opens no line and an empty text has none."""
-    got = F.split(x, _LINE_END)
-    return F.when(F.element_at(got, -1) == "", F.slice(got, 1, F.size(got) - 1)).otherwise(got)
+    return let(F.split(x, _LINE_END), lambda got: F.when(F.element_at(got, -1) == "", F.slice(got, 1, F.size(got) - 1)).otherwise(got))
 
 
 def _trim_blank_ends(got: Column) -> Column:
     """Drop empty strings at both ends of an array of right-stripped lines."""
-    full = F.filter(F.transform(got, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
-    return F.when(F.size(full) == 0, F.array().cast("array<string>")).otherwise(F.slice(got, F.element_at(full, 1) + 1, F.element_at(full, -1) - F.element_at(full, 1) + 1))
+
+    def cut(got):
+        full = F.filter(F.transform(got, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
+        none = F.array().cast("array<string>")
+        return let(full, lambda at: F.when(F.size(at) == 0, none).otherwise(F.slice(got, F.element_at(at, 1) + 1, F.element_at(at, -1) - F.element_at(at, 1) + 1)))
+
+    return let(got, cut)
 
 
 def normalize_code(x: Column) -> Column:
@@ -98,15 +107,21 @@ def element_or_null(array: Column, at: Column) -> Column:
 
 def extract_code(x: Column) -> Column:
     """Text between the last two fence lines; else the first fenced block; else a box; else the text stripped."""
-    got = lines(x)
-    at = F.filter(F.transform(got, lambda s, i: F.when(F.contains(s, F.lit(FENCE)), i)), lambda i: i.isNotNull())
-    first, last = F.try_element_at(at, F.lit(-2)), F.try_element_at(at, F.lit(-1))
-    inner = strip(F.array_join(F.slice(got, first + 2, last - first - 1), "\n"))
+
+    def between(got):
+        def cut(at):
+            first, last = F.element_at(at, -2), F.element_at(at, -1)
+            return F.when(first + 1 < last, strip(F.array_join(F.slice(got, first + 2, last - first - 1), "\n")))
+
+        marks = F.filter(F.transform(got, lambda s, i: F.when(F.contains(s, F.lit(FENCE)), i)), lambda i: i.isNotNull())
+        return let(marks, lambda at: F.when(F.size(at) >= 2, cut(at)))
+
     fenced = strip(F.try_element_at(F.regexp_extract_all(x, F.lit(rf"(?s){FENCE}(?:python|Python)?\s*\n(.*?)\n?{FENCE}"), F.lit(1)), F.lit(1)))
     boxed = strip(F.try_element_at(F.regexp_extract_all(x, F.lit(r"(?s)<\|begin_of_box\|>(.*?)<\|end_of_box\|>"), F.lit(1)), F.lit(1)))
     whole = strip(x)
-    two = (F.size(at) >= 2) & (first + 1 < last)
-    return F.when(x.isNull() | (whole == ""), "").when(two, F.when(inner != "", inner).otherwise(whole)).otherwise(F.coalesce(fenced, boxed, whole))
+    plain = F.coalesce(fenced, boxed, whole)
+    fenced_twice = let(between(lines(x)), lambda inner: F.when(inner.isNull(), plain).when(inner != "", inner).otherwise(whole))
+    return F.when(is_blank(x), "").when(F.contains(x, F.lit(FENCE)), fenced_twice).otherwise(F.coalesce(boxed, whole))
 
 
 def last_definition_line(code_lines: Column) -> Column:
@@ -130,9 +145,13 @@ def last_definition_line(code_lines: Column) -> Column:
 
 def split_last_definition(code: Column) -> tuple[Column, Column]:
     """(background, current function) of Python code; without a definition all is current."""
-    got = split_lines(code)
-    at = last_definition_line(got)
-    return F.coalesce(F.array_join(F.slice(got, 1, at - 1), "\n"), F.lit("")), F.coalesce(F.array_join(F.slice(got, at, F.size(got)), "\n"), code)
+
+    def cut(got):
+        parts = lambda at: F.struct(F.array_join(F.slice(got, 1, at - 1), "\n").alias("background"), F.array_join(F.slice(got, at, F.size(got)), "\n").alias("current"))
+        return let(last_definition_line(got), lambda at: F.when(at.isNotNull(), parts(at)))
+
+    both = let(split_lines(code), cut)
+    return F.coalesce(both["background"], F.lit("")), F.coalesce(both["current"], code)
 
 
 def split_last_chunk(code: Column, chunk: Column) -> tuple[Column, Column]:
@@ -156,7 +175,10 @@ def split_pair(x: Column) -> Column:
 
 def answer_letter(x: Column) -> Column:
     """A to H from a response: JSON answer, a lone letter, phrases, else the last letter that stands alone."""
-    s = strip(x)
+    return let(strip(x), _letter)
+
+
+def _letter(s: Column) -> Column:
     object_ = F.regexp_extract(s, r"(\{[^{}]*\})", 1)
     value = F.coalesce(*(F.get_json_object(object_, f"$.{k}") for k in ("answer", "Answer", "ANSWER")))
     phrases = (
@@ -170,18 +192,22 @@ def answer_letter(x: Column) -> Column:
 
 def json_text(x: Column) -> Column:
     """The JSON that a response holds, out of a box or a fence, as text; null if it does not parse."""
-    s = strip(x)
-    s = strip(F.coalesce(F.try_element_at(F.regexp_extract_all(s, F.lit(r"(?s)<\|begin_of_box\|>(.*?)<\|end_of_box\|>"), F.lit(1)), F.lit(1)), s))
-    s = strip(F.coalesce(F.try_element_at(F.regexp_extract_all(s, F.lit(rf"(?s){FENCE}(?:json)?\s*\n(.*?)\n{FENCE}"), F.lit(1)), F.lit(1)), s))
-    return F.when(F.try_parse_json(s).isNotNull(), s)
+    inner = lambda s, pattern: strip(F.coalesce(F.try_element_at(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), F.lit(1)), s))
+    box, fence = r"(?s)<\|begin_of_box\|>(.*?)<\|end_of_box\|>", rf"(?s){FENCE}(?:json)?\s*\n(.*?)\n{FENCE}"
+    unboxed = let(strip(x), lambda s: F.when(F.contains(s, F.lit(BOX_OPEN)), inner(s, box)).otherwise(s))
+    bare = let(unboxed, lambda s: F.when(F.contains(s, F.lit(FENCE)), inner(s, fence)).otherwise(s))
+    return let(bare, lambda s: F.when(F.try_parse_json(s).isNotNull(), s))
 
 
 def json_flag(x: Column, key: str) -> Column:
     """Truth of a key in a response's JSON object: missing is false, an empty object or no JSON is null."""
-    got = json_text(x)
-    value = F.get_json_object(got, f"$.{key}")
-    truth = F.when(value.isNull() | value.isin("false", "0", "0.0", "", "null", "[]", "{}"), False).otherwise(True)
-    return F.when(got.isNotNull() & got.startswith("{") & (F.regexp_replace(got, r"\s", "") != "{}"), truth)
+
+    def truth(got):
+        value = F.get_json_object(got, f"$.{key}")
+        said = let(value, lambda v: ~(v.isNull() | v.isin("false", "0", "0.0", "", "null", "[]", "{}")))
+        return F.when(got.isNotNull() & got.startswith("{") & ~got.rlike(r"^\{\s*\}$"), said)
+
+    return let(json_text(x), truth)
 
 
 def options_text(options: Column) -> Column:

@@ -41,9 +41,12 @@ def window_chunks(code_lines: Column, size: int = 80, overlap: int = 40) -> Colu
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than the window")
-    n = F.size(code_lines)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int"))
-    return F.when(n > 0, F.transform(starts, lambda i: F.struct((i * step).alias("start"), F.array_join(F.slice(code_lines, i * step + 1, F.lit(size)), "\n").alias("text"))))
+
+    def cut(got):
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(got) - size) / step)).cast("int"))
+        return F.when(F.size(got) > 0, F.transform(starts, lambda i: F.struct((i * step).alias("start"), F.array_join(F.slice(got, i * step + 1, F.lit(size)), "\n").alias("text"))))
+
+    return text.let(code_lines, cut)
 
 
 def sliding_chunks(code: Column, size: int = 80, overlap: int = 40) -> Column:
@@ -112,6 +115,20 @@ def rank_chunks(chunks: DataFrame, k: int, by: str = "id") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def local_context(chunks: Column, query_vec: Column, vector, k: int) -> Column:
+    """The k chunks of a row most similar to its query vector, in source order, joined by blank lines.
+
+    chunks is array<struct<start,text>> of the row itself, so nothing is exploded or shuffled; similarities
+    are rounded to nine digits and ties go to the earlier chunk."""
+
+    def best(q):
+        scored = F.transform(chunks, lambda c: F.struct((-F.round(metrics.cosine(vector(c["text"]), q), 9)).alias("off"), c["start"].alias("start"), c["text"].alias("text")))
+        top = F.slice(F.array_sort(scored), 1, k)
+        return F.array_join(F.transform(F.array_sort(F.transform(top, lambda c: F.struct(c["start"].alias("start"), c["text"].alias("text")))), lambda c: c["text"]), "\n\n")
+
+    return text.let(query_vec, best)
+
+
 def context_in_source_order(ranked: DataFrame, by: str = "id") -> DataFrame:
     """The kept chunks of each id joined by blank lines in the order of the source."""
     return ranked.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda c: c["text"]), "\n\n").alias("context"))

@@ -66,13 +66,13 @@ def _document_reading(spark, sf_dir):
 @query("ocr_cer_documents")
 def ocr_cer_documents(spark, sf_dir):
     """Whole documents: bit-parallel distance, which SQL engines lack."""
-    rows = _document_reading(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = _document_reading(spark, sf_dir)
     return rows.select("doc_id", F.round(metrics.cer(X.without_blank_lines(F.col("code")), X.without_blank_lines(F.col("text"))), 6).alias("cer"))
 
 
 @query("ocr_wer_documents")
 def ocr_wer_documents(spark, sf_dir):
-    rows = _document_reading(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = _document_reading(spark, sf_dir)
     return rows.select("doc_id", F.round(metrics.wer(F.col("code"), F.col("text")), 6).alias("wer"), F.round(metrics.line_similarity("code", "text"), 6).alias("line_sim"))
 
 
@@ -210,10 +210,9 @@ v AS (SELECT doc_id, st, t, [length(t)::DOUBLE, (length(t) - length(replace(t, '
 k AS (SELECT doc_id, st, t, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(CASE WHEN list_dot_product(x, x) * list_dot_product(y, y) > 0 THEN list_dot_product(x, y) / sqrt(list_dot_product(x, x) * list_dot_product(y, y)) END, 0), 9) DESC, st) AS r FROM v)
 SELECT doc_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY st)) AS context FROM k WHERE r <= 3 GROUP BY doc_id""")
 def rag_context(spark, sf_dir):
-    mark = lambda c: F.array(F.length(c).cast("double"), (F.length(c) - F.length(F.translate(c, "e", ""))).cast("double"), (F.length(c) - F.length(F.translate(c, "t", ""))).cast("double"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), mark(F.col("text")).alias("query_vec"), F.explode(retrieval.window_chunks(X.split_lines(F.col("text")), 8, 4)).alias("c"))
-    d = d.select("id", F.col("c.start").alias("start"), F.col("c.start").alias("idx"), F.col("c.text").alias("text"), mark(F.col("c.text")).alias("vec"), "query_vec")
-    return retrieval.context_in_source_order(retrieval.rank_chunks(d, 3)).select(F.col("id").alias("doc_id"), F.md5("context").alias("context"))
+    mark = lambda c: F.array(F.length(c).cast("double"), (F.length(c) - F.length(F.replace(c, F.lit("e")))).cast("double"), (F.length(c) - F.length(F.replace(c, F.lit("t")))).cast("double"))
+    context = retrieval.local_context(retrieval.window_chunks(X.split_lines(F.col("text")), 8, 4), mark(F.col("text")), mark, 3)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(context).alias("context")).where("context IS NOT NULL")
 
 
 @query("topk_cosine", """
