@@ -3,8 +3,9 @@
 Each document gets the exponential key -ln(u)/w with u from a digest of its id and text and w its quality
 weight. Within a source documents are ordered by key; complete epochs take every document, and the rest of
 the source's token budget goes to the documents whose middle lies within it by a prefix sum. A hot source
-is split: keys fall into bins whose number grows with the source's rows, bins are summed and accumulated,
-and the fine order runs within a bin.
+is split: keys fall into bins whose number grows with the square root of the source's rows, so neither the
+bins of a source nor the rows of a bin are many; bins are summed and accumulated, and the fine order runs
+within a bin.
 
 Defined cases: null text has size 0; null source is a source of its own and comes last; rows that are equal
 in id and text share a key and are interchangeable; an empty table gives no rows; a source of size 0 has
@@ -23,7 +24,8 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: Marks that speak against a document's quality weight.
 JUNK = "!$%&*#|"
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BIN = 10_000
+#: Bins per octave of keys for each square root of a source's rows.
+BINS = 0.25
 
 
 def quality_weight(text):
@@ -60,7 +62,7 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SH
     made = shared.written(made, "mix")
     sizes = made.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     plan = source_targets(sizes, weights, share)
-    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("epochs"), F.ceil(F.col("n_rows") / ROWS_PER_BIN).alias("fine"))
+    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("epochs"), F.ceil(F.sqrt("n_rows") * BINS).alias("fine"))
     binned = made.join(plan, made.source.eqNullSafe(plan._s)).withColumn("bin", F.floor(F.log2("key") * F.col("fine")))
     sums = binned.groupBy("_s", "bin").agg(F.sum("size").alias("bin_size"))
     run = Window.partitionBy("_s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
