@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_source_mixing": mixing.OP8_SQL}
+    return {"op6_substring_dedup": substring_dedup.OP6_SQL, "op8_source_mixing": mixing.OP8_SQL}

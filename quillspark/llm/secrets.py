@@ -121,13 +121,14 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float =
     ratios = ratios or train_ratios(labelled_samples(docs.sparkSession))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumns({f"_{k}": v for k, v in base_spans(text).items()})
-    # a run without digits in one case is scored too; only runs that no base span touches may add a span
+    # only runs that no base span touches may add a span
     runs = _located(text, CANDIDATE, "markov")
     found = found.withColumn("_runs", runs)
-    base = F.concat("_assign", "_access", "_hex")
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    scored = lambda s: markov_score(F.substring(text, s["start"] + 1, s["end"] - s["start"]), ratios) > threshold
-    return found.withColumn("_markov", F.filter("_runs", lambda s: clear(s) & scored(s))).drop("_runs")
+    # letters of hex and access are letters of a run, so what touches a run lies within it: its own text tells
+    run = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    fresh = lambda s: ~run(s).rlike(HEX) & ~run(s).rlike(ACCESS) & (markov_score(run(s), ratios) > threshold)
+    clear = lambda s: ~F.exists("_assign", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return found.withColumn("_markov", F.filter(F.filter("_runs", fresh), clear)).drop("_runs")
 
 
 def _listed(spans: Column, by_start: bool) -> Column:

@@ -21,7 +21,10 @@ CHUNK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer splits than cores, which is small, is dealt out to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -77,8 +80,8 @@ def ordered_chunks(docs: DataFrame, n: int) -> DataFrame:
 
 
 def hashed_chunks(docs: DataFrame, n: int) -> DataFrame:
-    """docs with a column ``chunk`` from a hash of id and text length, so that rows of one id spread."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
+    """docs with a column ``chunk`` from a hash of id and text, so that rows of one id or one text spread."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 class WordHashes(dict):

@@ -25,7 +25,7 @@ from quillspark.llm import shared
 from quillspark.llm.components import connected_components
 
 TILE = 4096
-_BITS = "doc_id long, fp long"
+_BITS = "doc_id long, digest long, fp long"
 _LINK = "a long, b long"
 
 
@@ -56,14 +56,15 @@ def _fingerprints(width: int):
 
         for b in batches:
             made = np.array([fingerprint(t, width) for t in shared.text_bytes(b.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(made.view(np.int64))], names=["doc_id", "digest", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs(doc_id, text) to doc_id and the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(width), _BITS)
+    """docs(doc_id, text) to doc_id, a digest of the text and the fingerprint as a signed long."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest")).mapInArrow(_fingerprints(width), _BITS)
 
 
 def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -165,22 +166,25 @@ def near_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """docs(doc_id, text) to doc_id, fp and component_id (smallest doc_id reachable), a row per input row."""
+    """docs(doc_id, text) to doc_id, digest, fp and component_id (smallest doc_id reachable), a row per input row."""
     made = shared.written(fingerprints(docs, width), "simhash")
     fps = shared.written(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = connected_components(near_links(fps.select("fp"), radius))
     member = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("first").alias("component_id"))
     label = member.join(named, "root").select("fp", "component_id")
-    return made.join(label, "fp").select("doc_id", "fp", "component_id")
+    return made.join(label, "fp").select("doc_id", "digest", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs whose id names their group; one row where rows repeat that id."""
-    groups = near_duplicates(docs, width, radius)
-    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first._kept), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The row of docs whose id names its group; of several rows with that id the one of least text digest.
+
+    Rows equal in id and text are one; which of them stays is open where other columns differ."""
+    groups = near_duplicates(docs, width, radius).where("doc_id <=> component_id")
+    first = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min("digest").alias("_digest"))
+    kept = docs.withColumn("_text_digest", F.xxhash64(F.col("text").cast("string")))
+    kept = kept.join(first, kept.doc_id.cast("long").eqNullSafe(first._id) & (kept._text_digest == first._digest), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_digest"]).drop("_text_digest")
 
 
 def op9_query(spark, sf_dir) -> DataFrame:

@@ -142,6 +142,27 @@ def op6_query(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents
+), p AS (
+  SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM w
+), v AS (
+  SELECT doc_id, pos, list(word) OVER f AS win, count(*) OVER f AS n FROM p
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), s AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(array_to_string(win, ' ')) ORDER BY doc_id, pos) > 1 AS again FROM v WHERE n = 20
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM s WHERE again
+), k AS (
+  SELECT p.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p.pos) AS kept
+  FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.pos = p.pos) GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 def brute_force(rows: list[tuple], width: int) -> dict:
     """For tests: rows (doc_id, text) to doc_id -> (n_words, n_removed, sha256 of the kept words)."""
     seen, out = set(), {}
