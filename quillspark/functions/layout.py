@@ -159,6 +159,42 @@ def max_font(sizes: Column, res: Column, pages: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, halve, lambda a: a["best"])
 
 
+def two_column_layout(sizes: list[int], res: int, font: int, line_height: float = 1.0, gap: int = 10) -> tuple[int, float]:
+    """Pages and fill of the last page where a narrow first column is followed by a second one.
+
+    A page turns to its second column when the first is full and its widest row takes half the page at most."""
+    if font <= 0:
+        return 9999, 0.0
+    margin, step = int(res * MARGIN), int(font * line_height)
+    rows_per_column = int((res - 2 * margin) / step) if step > 0 else 1
+    advance = font * CHAR_WIDTH
+    first_width, second_start = (res - 2 * margin) // 2, res // 2 + gap // 2
+    pages, column, row, widest = 1, 0, 0, 0.0
+
+    def turn():
+        nonlocal pages, column, row, widest
+        row += 1
+        if row >= rows_per_column:
+            if column == 0 and widest <= res / 2:
+                column = 1
+            else:
+                pages, column = pages + 1, 0
+            row, widest = 0, 0.0
+
+    for i, n in enumerate(sizes):
+        if i:
+            turn()
+        while n > 0:
+            room = max(1, int((first_width if column == 0 else res - margin - second_start) / advance))
+            taken = min(n, room)
+            widest = max(widest, taken * advance)
+            n -= taken
+            if n > 0:
+                turn()
+    whole = 2 * max(rows_per_column, 1)
+    return pages, (rows_per_column * column + row) / whole
+
+
 def corruption_size(w: Column, h: Column, ratio: Column) -> Column:
     """Size of a page after it is shrunk by a ratio."""
     return F.struct(F.greatest(F.lit(1), _int(w / ratio)).alias("w"), F.greatest(F.lit(1), _int(h / ratio)).alias("h"))

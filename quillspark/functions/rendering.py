@@ -19,6 +19,16 @@ LIGHT = {
     "Keyword": "#0000FF", "Name.Function": "#795E26", "Name.Builtin": "#795E26", "Name.Class": "#267F99", "Name": "#000000", "String": "#A31515",
     "String.Doc": "#008000", "Number": "#098658", "Comment": "#008000", "Operator": "#000000", "Punctuation": "#000000", "Error": "#FF0000",
 }
+# The pipelines' themes: a token takes the first key that it is or descends from.
+MODERN_B = {
+    "Keyword": "#AF00DB", "Operator.Word": "#0000FF", "Name.Function": "#795E26", "Name.Builtin": "#795E26", "Name.Class": "#267F99", "Name": "#000000",
+    "Literal.String": "#A31515", "Literal.Number": "#098658", "Comment": "#008000", "Operator": "#000000", "Punctuation": "#000000", "Error": "#FF0000",
+    "Generic.Deleted": "#A31515", "Generic.Inserted": "#008000",
+}
+LIGHT_B = {
+    "Keyword": "#0000FF", "Name": "#000000", "Literal.String": "#A31515", "Literal.Number": "#098658", "Comment": "#008000", "Operator": "#000000",
+    "Punctuation": "#000000", "Error": "#FF0000", "Generic": "#000000", "Other": "#000000", "Text": "#000000",
+}
 TOKEN = ArrayType(StructType().add("text", StringType()).add("color", StringType()))
 
 
@@ -26,7 +36,13 @@ def color_of(kind: str, theme: dict) -> str:
     return next((c for k, c in theme.items() if k in kind), "#000000")
 
 
-def coloured(code: str, language: str | None, theme: dict) -> list[dict]:
+def color_below(kind: str, theme: dict) -> str:
+    """Colour of the first key that a kind such as Token.Name.Function equals or descends from."""
+    path = kind.removeprefix("Token.")
+    return next((c for k, c in theme.items() if path == k or path.startswith(k + ".")), "#000000")
+
+
+def coloured(code: str, language: str | None, theme: dict, color=color_of) -> list[dict]:
     try:
         from pygments import lex
         from pygments.lexers import get_lexer_by_name, guess_lexer
@@ -37,16 +53,17 @@ def coloured(code: str, language: str | None, theme: dict) -> list[dict]:
         lexer = get_lexer_by_name(language) if language else guess_lexer(code)
     except ClassNotFound:
         lexer = get_lexer_by_name("python")
-    return [{"text": t, "color": color_of(str(kind), theme)} for kind, t in lex(code, lexer)]
+    return [{"text": t, "color": color(str(kind), theme)} for kind, t in lex(code, lexer)]
 
 
-def syntax_tokens(theme: str = "light"):
+def syntax_tokens(theme: str = "light", variant: str = "a"):
     """Arrow function (code, language) to the ordered coloured tokens."""
-    chosen = MODERN if theme == "modern" else LIGHT
+    chosen = {"a": (LIGHT, MODERN), "b": (LIGHT_B, MODERN_B)}[variant][theme == "modern"]
+    color = color_of if variant == "a" else color_below
 
     @F.pandas_udf(TOKEN)
     def run(code: pd.Series, language: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else coloured(c, lang, chosen) for c, lang in zip(code, language, strict=True)])
+        return pd.Series([None if c is None else coloured(c, lang, chosen, color) for c, lang in zip(code, language, strict=True)])
 
     return run
 

@@ -97,6 +97,34 @@ def search_b(targets: DataFrame, page_limit: int = 100, retries: int = 3) -> Dat
     return targets.select("k").join(best, "k", "left").select("k", F.coalesce(-F.col("b.r"), F.lit(112)).cast("int").alias("res"), F.coalesce("b.f", F.lit(3)).cast("int").alias("font"), F.coalesce(-F.col("b.p"), F.lit(1)).cast("int").alias("pages"))
 
 
+def search_fitted(docs: DataFrame, page_limit: int = 100) -> DataFrame:
+    """docs(k, target, tokens, ratio, used, num_lines, max_line_chars, avg_line_chars, sizes) to k, res, font, pages.
+
+    Candidates take the font for which all lines fit and none wraps; the best one's font is then the largest
+    whose pages, in closed form, are within its count. 112 and the largest one-page font where none is feasible."""
+    rows = candidates(docs, L.image_tokens_b, BANDS_B, page_limit)
+    rows = rows.withColumn("font", L.optimal_font(F.col("res"), F.col("pages"), F.col("num_lines"), F.col("max_line_chars")).cast("int"))
+    rows = rows.withColumn("fill", L.fill_rate(F.col("font"), F.col("res"), F.col("pages"), F.col("num_lines"), F.col("avg_line_chars")))
+    target, fill, ratio = F.col("target"), F.col("fill"), F.col("ratio")
+    poor = F.when(target >= 10000, (fill < 0.03) & (F.col("font") < 6)).when(target >= 3000, (fill < 0.1) & (F.col("font") < 5)).otherwise(False)
+    strong = (target < 50) | F.coalesce(ratio >= 4.0, F.lit(False))
+    match = 1.0 / (1.0 + F.col("off") * _by_band(target, BANDS_B, 3))
+    loose = F.when(fill >= 0.2, 0.9).otherwise(0.5)
+    tight = F.when(fill >= 0.9, 1.0).when(fill >= 0.2, 0.2 + (fill - 0.2) * (0.8 / 0.7)).when(fill >= 0.1, 0.05).otherwise(0.01)
+    place = (F.col("res") - L.SMALLEST) / float(L.LARGEST - L.SMALLEST)
+    bonus = 1.0 + place * F.when(target < 1000, 1.0).when(target >= 3000, 0.5).otherwise(0.3)
+    extra = bonus * F.when(ratio <= 2.0, 1.2).otherwise(1.0)
+    plain = match * tight * extra * F.when((target >= 5000) & (F.col("font") < 8), 0.8).otherwise(1.0)
+    score = F.when(strong, F.pow(match, F.lit(2.5)) * F.pow(loose, F.lit(0.2)) * extra).when(target < 100, F.pow(match, F.lit(1.5)) * F.pow(tight, F.lit(0.75)) * extra).otherwise(plain)
+    score = score * F.when((target < 1000) & (F.col("pages") > 2), 0.01).otherwise(1.0) * F.when(F.col("fresh"), 1.0).otherwise(0.95)
+    best = _best(rows.where(~poor).withColumn("score", score), ["k"])
+    found = docs.select("k", "sizes").join(best, "k", "left")
+    found = found.select("k", "sizes", F.coalesce(-F.col("b.r"), F.lit(112)).cast("int").alias("res"), F.coalesce(-F.col("b.p"), F.lit(1)).cast("int").alias("pages"), F.col("b.f").alias("f"))
+    fitted = L.max_font(F.col("sizes"), F.col("res"), F.col("pages"))
+    fits = L.layout_pages(F.col("sizes"), F.col("res"), fitted)[0] <= F.col("pages")
+    return found.select("k", "res", F.when(fits, fitted).otherwise(F.coalesce("f", F.lit(3))).cast("int").alias("font"), "pages")
+
+
 def plan_ratios(docs: DataFrame, ratios=(1.0, 2.0, 4.0, 8.0), search=search_b) -> DataFrame:
     """docs(tokens) to a layout for each distinct token count and ratio, smallest ratio first.
 

@@ -162,6 +162,14 @@ def compression_plan(spark, sf_dir):
     return docs.join(plans, "tokens").select("doc_id", "ratio", "res", "font", "pages", cost.alias("cost"), F.array_join(L.layout_warnings(cost, F.col("tokens") / F.col("ratio"), fill, F.col("font")), ",").alias("warnings"))
 
 
+@query("layout_search_fitted")
+def layout_search_fitted(spark, sf_dir):
+    """Layouts at ratio 2 from each document's own line structure, font fitted in closed form."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), L.text_tokens(F.col("text")).alias("tokens"), *(c.alias(n) for n, c in L.structure(F.col("text")).items()), L.line_lengths(F.col("text")).alias("sizes"))
+    docs = docs.withColumns({"target": F.col("tokens") / 2, "ratio": F.lit(2.0), "used": F.array().cast(S.USED)})
+    return S.search_fitted(docs)
+
+
 @query("page_rows", """
 WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM benchmark),
 c AS (SELECT item_id, pos, line, unnest(range(0, greatest(1, CAST(ceil(length(line) / 36.0e0) AS BIGINT)))) AS i FROM l),

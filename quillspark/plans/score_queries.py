@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import metrics
 from quillspark.functions import text as X
 from quillspark.operators import relational, reports, retrieval
+from quillspark.plans import pipelines
 from quillspark.plans.tables import table
 from quillspark.streaming import clients
 
@@ -242,6 +243,31 @@ def merged_flags(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", reports.merge_flags(heuristic, judge).alias("m")).select("doc_id", F.col("m")["typo"].alias("typo"), F.col("m")["loss"].alias("loss"))
 
 
+class _Letters(clients.EchoClient):
+    """Answers with a letter that the prompt's length decides."""
+
+    def __init__(self):
+        super().__init__(lambda p: "The answer is " + "ABCD"[len(p) % 4])
+
+
+@query("pipeline_qa", """
+WITH q AS (SELECT conv_id * 1000 + turn AS id, role AS source_file, text, substr('ABCD', CAST(conv_id % 4 + 1 AS INTEGER), 1) AS a FROM conversations WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''),
+m AS (SELECT *, 'text_only' AS mode, 'Repository:' || chr(10) || text || chr(10) || chr(10) || 'Question: ?' || chr(10) || 'A. ' || source_file || chr(10) || chr(10) || 'Answer with one letter.' AS p FROM q
+UNION ALL SELECT *, 'no_context', 'Question: ?' || chr(10) || 'A. ' || source_file || chr(10) || chr(10) || 'Answer with one letter.' FROM q)
+SELECT id, mode, substr('ABCD', CAST(length(p) % 4 + 1 AS INTEGER), 1) AS pred_letter, substr('ABCD', CAST(length(p) % 4 + 1 AS INTEGER), 1) = a AS is_correct FROM m""")
+def pipeline_qa(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where(~X.is_blank(F.col("text")))
+    items = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("repo"), F.col("text").alias("code"), F.lit("?").alias("question"), F.concat(F.lit("A. "), "role", F.lit("\n")).alias("options_text"), F.substring(F.lit("ABCD"), (F.col("conv_id") % 4 + 1).cast("int"), F.lit(1)).alias("correct_letter"))
+    return pipelines.qa(items, _Letters, ("text_only", "no_context")).select("id", "mode", "pred_letter", "is_correct")
+
+
+@query("pipeline_reconstruction")
+def pipeline_reconstruction(spark, sf_dir):
+    """Benchmark items read by a client that answers in capitals."""
+    truth = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("code_id"), F.col("text").alias("code"))
+    return pipelines.reconstruction(truth, clients.EchoClient, (1.0, 2.0)).select("code_id", "ratio", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"), F.round("line_sim", 6).alias("line_sim"), F.col("taxonomy")["Symbol_Loss"].alias("symbol_loss"))
+
+
 @query("model_answers", """
 SELECT conv_id, turn, upper(text) AS output, greatest(1, length(text) // 4) AS prompt_tokens FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]+$')""")
 def model_answers(spark, sf_dir):

@@ -31,6 +31,16 @@ class EchoClient:
         return {"output": out, "prompt_tokens": max(1, len(prompt) // 4), "completion_tokens": max(1, len(out) // 4) if out else 0, "finish_reason": "stop"}
 
 
+@dataclass
+class FixedClient:
+    """Answers every prompt with one text."""
+
+    text: str
+
+    def ask(self, prompt: str, images: list[bytes]) -> dict:
+        return {"output": self.text, "prompt_tokens": max(1, len(prompt) // 4), "completion_tokens": max(1, len(self.text) // 4) if self.text else 0, "finish_reason": "stop"}
+
+
 @dataclass
 class Policy:
     """Retries with growing waits; an empty answer is retried too. interval is between calls of one partition."""
