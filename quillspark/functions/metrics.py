@@ -15,8 +15,53 @@ from quillspark.functions import text as X
 SHORT = 512
 
 
+def _letter_bits(a) -> dict:
+    """For each distinct element the bit vector of its places."""
+    places: dict = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, []).append(i)
+    out = {}
+    for c, at in places.items():
+        row = bytearray((len(a) >> 3) + 1)
+        for i in at:
+            row[i >> 3] |= 1 << (i & 7)
+        out[c] = int.from_bytes(row, "little")
+    return out
+
+
+def _banded(a, b, where: dict, most: int) -> int | None:
+    """Edit distance of a (the longer) and b if it is at most ``most``, from the band of cells that it can use."""
+    n, m = len(a), len(b)
+    width = 2 * most + 2
+    full, corner = (1 << width) - 1, 1 << (width - 1)
+    plus, minus, score, edge, start = full ^ ((1 << (width - most - 1)) - 1), 0, most, corner >> 1, most + 1 - width
+    give_up, turn = 2 * most + m - n, n - most
+    get = where.get
+    for j in range(m):
+        bits = get(b[j], 0)
+        if bits:
+            bits = (bits >> start if start >= 0 else bits << -start) & full
+        d0 = ((((bits & plus) + plus) ^ plus) | bits | minus) & full
+        up, down = minus | ((d0 | plus) ^ full), d0 & plus
+        if j < turn:
+            if not d0 & corner:
+                score += 1
+        else:
+            if up & edge:
+                score += 1
+            elif down & edge:
+                score -= 1
+            edge >>= 1
+        if score > give_up:
+            return None
+        d0 >>= 1
+        plus, minus = down | ((d0 | up) ^ full), d0 & up
+        start += 1
+    return score if score <= most else None
+
+
 def bit_distance(a, b) -> int:
-    """Edit distance of two sequences, one machine-independent bit vector per column (Myers, Hyyro)."""
+    """Edit distance of two sequences: bit vectors (Myers, Hyyro) in a band that widens until it holds the answer."""
     n = min(len(a), len(b))
     start = 0
     while start < n and a[start] == b[start]:
@@ -27,25 +72,24 @@ def bit_distance(a, b) -> int:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
-    if len(a) > len(b):
+    if len(a) < len(b):
         a, b = b, a
-    where: dict = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    size = len(a)
-    full, top = (1 << size) - 1, 1 << (size - 1)
-    plus, minus, score = full, 0, size
+    where = _letter_bits(a)
+    most = max(64, (len(a) - len(b)) * 5 // 4 + 32)
+    while most < len(a) // 3:
+        found = _banded(a, b, where, most)
+        if found is not None:
+            return found
+        most *= 4
+    full = (1 << len(a)) - 1
+    plus, minus = full, 0
     for c in b:
         match = where.get(c, 0)
-        d0 = (((match & plus) + plus) ^ plus) | match | minus
-        up, down = minus | (full & ~(d0 | plus)), plus & d0
-        if up & top:
-            score += 1
-        elif down & top:
-            score -= 1
+        d0 = ((((match & plus) + plus) ^ plus) | match | minus) & full
+        up, down = minus | ((d0 | plus) ^ full), plus & d0
         up, down = (up << 1 | 1) & full, (down << 1) & full
-        plus, minus = down | (full & ~(d0 | up)), up & d0
-    return score
+        plus, minus = down | ((d0 | up) ^ full), up & d0
+    return len(b) + plus.bit_count() - minus.bit_count()
 
 
 @F.pandas_udf(IntegerType())

@@ -26,6 +26,25 @@ def test_bit_distance():
         assert M.bit_distance(a, b) == plain_distance(a, b)
 
 
+def test_bands_agree_with_the_whole_table():
+    rng = random.Random(11)
+    for _ in range(60):
+        a = "".join(rng.choice("abcdé") for _ in range(rng.randint(250, 420)))
+        b = list(a)
+        for _ in range(rng.choice((1, 5, 40, 90))):
+            at = rng.randrange(len(b))
+            b[at : at + rng.choice((0, 1, 2))] = rng.choice(("", "x", "ab"))
+        b = "".join(b)
+        assert M.bit_distance(a, b) == plain_distance(a, b)
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        where = M._letter_bits(long)
+        for most in (3, 20, 64, 100):
+            got = M._banded(long, short, where, most)
+            assert got is None or got == plain_distance(a, b)
+            if plain_distance(a, b) <= most:
+                assert got == plain_distance(a, b)
+
+
 def test_long_and_short_distances_agree(spark):
     rng = random.Random(4)
     rows = []
