@@ -63,20 +63,29 @@ def chunk_count(spark: SparkSession, n_bytes: int, per: int = CHUNK_BYTES) -> in
     return max(shuffle_parts(spark), math.ceil(n_bytes / per), 1)
 
 
-def ordered_chunks(docs: DataFrame, n: int) -> DataFrame:
+def ordered_chunks(docs: DataFrame, n: int, most_cuts: int = 2000) -> DataFrame:
     """docs with a column ``chunk`` that never decreases as doc_id grows; null ids come last.
 
-    Rows of one id share a chunk, so order across chunks is order of ids."""
+    Rows of one id share a chunk, so order across chunks is order of ids. Quantiles of the ids cut at most
+    most_cuts ranges, which bounds what the driver holds; more chunks split each range evenly by value."""
     from pyspark.ml.feature import Bucketizer
 
-    probs = [i / n for i in range(1, n)]
-    cuts = docs.approxQuantile("doc_id", probs, 1 / (8 * n)) if n > 1 else []
-    splits = [-math.inf, *sorted({c for c in cuts if c is not None}), math.inf]
+    q = min(n, most_cuts)
+    parts = math.ceil(n / q)
+    cuts = sorted(set(docs.approxQuantile("doc_id", [i / q for i in range(q + 1)], 1 / (8 * q))))
+    inner = cuts[1:-1]
     keyed = docs.withColumn("_id", F.col("doc_id").cast("double"))
-    if len(splits) == 2:
-        return keyed.drop("_id").withColumn("chunk", F.lit(0))
-    out = Bucketizer(splits=splits, inputCol="_id", outputCol="_at", handleInvalid="keep").transform(keyed)
-    return out.withColumn("chunk", F.col("_at").cast("int")).drop("_id", "_at")
+    if not inner:
+        keyed, at = keyed.withColumn("_at", F.lit(0.0)), F.lit(0)
+    else:
+        keyed = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_id", outputCol="_at", handleInvalid="keep").transform(keyed)
+        at = F.col("_at").cast("int")
+    if parts > 1 and len(cuts) > 1:
+        low, high = (F.element_at(F.array(*map(F.lit, ends)), at + 1) for ends in ([*cuts[:-1], cuts[-1]], [*cuts[1:], cuts[-1]]))
+        place = F.floor((F.col("_id") - low) / F.greatest(high - low, F.lit(1.0)) * parts)
+        at = at * parts + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(parts - 1), place)), F.lit(0)).cast("int")
+    last = (len(inner) + 1) * parts
+    return keyed.withColumn("chunk", F.when(F.col("_id").isNull(), last).otherwise(at)).drop("_id", "_at")
 
 
 def hashed_chunks(docs: DataFrame, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import components, decontaminate, html_extract, lm_scoring, media, mixing, pii, quality, secrets, simhash, substring_dedup
+from quillspark.llm import components, decontaminate, html_extract, lm_scoring, media, mixing, pii, quality, secrets, shared, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, score double, size int, component_id long, bucket int, fp long, key string, ratio string"
 
@@ -58,6 +58,22 @@ def test_substring_removal(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_chunks_follow_ids(spark):
+    rng = random.Random(4)
+    ids = [rng.choice((rng.randint(0, 50), rng.randint(0, 10**12))) for _ in range(900)] + [None, 7, 7]
+    d = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    for n, cuts in ((1, 2000), (12, 2000), (40, 5), (64, 1)):
+        got = shared.ordered_chunks(d, n, cuts).select("doc_id", "chunk").collect()
+        assert len(got) == len(ids)
+        placed = sorted((r.chunk, r.doc_id) for r in got if r.doc_id is not None)
+        assert [i for _, i in placed] == sorted(i for i in ids if i is not None)
+        assert next(r.chunk for r in got if r.doc_id is None) > placed[-1][0]
+        assert len({r.chunk for r in got}) > n // 3
+        apart = {}
+        for r in got:
+            assert apart.setdefault(r.doc_id, r.chunk) == r.chunk
+
+
 def test_language_model(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = defaultdict(list)
