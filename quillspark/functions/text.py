@@ -156,8 +156,8 @@ def split_last_definition(code: Column) -> tuple[Column, Column]:
 
 def split_last_chunk(code: Column, chunk: Column) -> tuple[Column, Column]:
     """(text before the last occurrence of chunk, from there on)."""
-    at = F.length(F.element_at(F.split(code, F.concat(F.lit("\\Q"), chunk, F.lit("\\E"))), -1))
-    head = F.length(code) - at - F.length(chunk)
+    from_end = F.position(F.reverse(chunk), F.reverse(code)) - 1
+    head = F.length(code) - from_end - F.length(chunk)
     found = F.contains(code, chunk) & (chunk != "")
     return F.when(found, F.substring(code, F.lit(1), head)).otherwise(""), F.when(found, F.substring(code, head + 1, F.length(code))).otherwise(code)
 

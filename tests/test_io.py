@@ -90,3 +90,25 @@ def test_rows_and_colours(spark):
     assert [len(r.text) for r in rows] == [36, 36, 8, 0, 1] and [r.row for r in rows] == list(range(5))
     t = d.select(rendering.syntax_tokens()(F.lit("def f(): pass"), F.lit("python")).alias("t")).first().t
     assert "".join(x.text for x in t).strip() == "def f(): pass" and t[0].color == "#0000FF"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillspark import __main__ as cli
+
+    (tmp_path / "a.go").write_text("func f() {\n}\n" * 40)
+    (tmp_path / "b.go").write_text("func g() {\n}\n" * 40)
+    cli.main(["plan", str(tmp_path / "a.go"), "--ratio", "2"])
+    got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert got["language"] == "go" and got["pages"] == 1 and got["num_lines"] == 81
+    cli.main(["score", str(tmp_path / "a.go"), str(tmp_path / "b.go")])
+    got = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert 0 < got["cer"] < 0.1 and not got["exact"]
+
+
+def test_streaming_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", 1.0, 0.5), ("2024-01-01 00:50:00", 1.0, 0.0), ("2024-01-01 01:10:00", 2.0, 0.0)], "ts string, ratio double, cer double")
+    rows.select(F.col("ts").cast("timestamp").alias("ts"), "ratio", "cer").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, ratio double, cer double").parquet(str(tmp_path / "in"))
+    q = resume.ratio_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(60)
+    assert sorted((r.ratio, r.n, r.cer) for r in spark.table("counts").collect()) == [(1.0, 2, 0.25), (2.0, 1, 0.0)]
