@@ -136,7 +136,7 @@ class Page:
             if m[1].lower() == "hidden" or m[1].lower() == "style" and "display:none" in value.replace(" ", ""):
                 out.append("hidden!")
             elif m[1].lower() != "style":
-                out += _WORD.findall(value)
+                out += [next((h for p, h in STEMS if w.startswith(p)), w) for w in _WORD.findall(value)]
         return tuple(out[:12])
 
 
@@ -146,6 +146,9 @@ HINTS = frozenset(
     "discussion cookie consent notice alert popup modal newsletter subscribe signup login search form tags meta byline toolbar hidden article content post entry main story body text page blog".split()
 )
 
+#: Beginnings of words that count as one of the hints (fixed values).
+STEMS = (("comment", "comments"), ("disqus", "comments"), ("advert", "ad"), ("sponsor", "sponsor"), ("cookie", "cookie"), ("navig", "nav"), ("footer", "footer"), ("sidebar", "sidebar"), ("repl", "reply"), ("subscri", "subscribe"), ("newslet", "newsletter"))
+
 
 def observations(page: Page) -> list[list[tuple]]:
     """For each block the observed values that its unary potential multiplies; none for phrasing."""
@@ -264,7 +267,7 @@ def extract(source: str, model: Model) -> tuple[str, int]:
     return text_of(page, [p > 0.5 for p in model.marginals(page)]), len(page.tag)
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[Page, list[int]]]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[Page, list[int]]]:
     """Pages of several layouts whose regions are labelled as they are made."""
     rng = random.Random(seed)
     syllables = "the of and to in that was for on is with as it be by are this ter lan mer son del que ung ver tion".split()
@@ -291,12 +294,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[Page, list[int]]]
                 parts.append(f"<blockquote><p>{prose()}</p></blockquote>")
             elif kind < 0.92:
                 parts.append("<table>" + "".join(f"<tr><td>{text(1, 3)}</td><td>{text(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
-            elif kind < 0.95:
+            elif kind < 0.935:
                 parts.append(f"<pre>{text(4, 20)}</pre>")
-            elif kind < 0.98:
+            elif kind < 0.95:
                 parts.append(f"<figure><img src=x><figcaption>{text(3, 9)}</figcaption></figure>")
             else:
-                parts.append(off("div", rng.choice(("ad", "ads", "advert", "sponsor promo")), text(3, 12)))
+                parts.append(off(rng.choice(("div", "p", "section")), rng.choice(("ad", "ads", "advert", "sponsor promo")), rng.choice((text(3, 12), prose()))))
         if rng.random() < 0.3:
             parts.insert(1, off("div", rng.choice(("share social", "meta byline", "tags")), text(2, 6) + link()))
         body = "".join(parts)
@@ -326,10 +329,13 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[Page, list[int]]]
         if rng.random() < 0.15:
             before.append(off("div", "breadcrumb", f"{link()} {link()}"))
         for chance, mark, made in (
-            (0.35, "sidebar", f"<h3>{text(1, 3)}</h3><ul>{items(2, 6)}</ul>"), (0.25, "related recommended", f"<ul>{items(2, 5)}</ul>"), (0.3, "comments", "".join(f'<div class="comment"><p>{prose()}</p></div>' for _ in range(3))),
+            (0.35, "sidebar", f"<h3>{text(1, 3)}</h3><ul>{items(2, 6)}</ul>"), (0.25, "related recommended", f"<ul>{items(2, 5)}</ul>"), (0.3, "comments", "".join(f'<div class="comment"><p>{prose()}</p></div>' for _ in range(3))), (0.06, "comment-list", "".join(f"<li><p>{prose()}</p></li>" for _ in range(3))),
             (0.2, "newsletter subscribe", f"<p>{sentence()}</p>"), (0.15, "widget", f"<p>{text(2, 9)}</p>"), (0.15, "pagination", f"{link()} {link()}"),
         ):
             if rng.random() < chance:
+                if mark == "comment-list":
+                    after.append(off(rng.choice(("ol", "ul")), mark, made))
+                    continue
                 (after if rng.random() < 0.7 else before).append(off("aside" if mark == "sidebar" and rng.random() < 0.5 else "section" if mark == "comments" and rng.random() < 0.4 else "div", mark, made))
         if rng.random() < 0.15:
             after.append(off("form", "", f"<p>{text(1, 5)}</p>"))
