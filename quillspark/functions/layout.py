@@ -220,3 +220,8 @@ def image_token_estimate(prompt: Column, text: Column) -> Column:
 
 def layout_warnings(tokens: Column, target: Column, fill: Column, font: Column) -> Column:
     return F.array_compact(F.array(F.when(F.abs(tokens - target) / target > 0.2, "tokens"), F.when(fill < 0.1, "fill"), F.when(font < 8, "font")))
+
+
+def estimated_or_measured(measured: Column | None, estimate: Column) -> Column:
+    """Tokens of a model's own processor where it gives them, else the estimate."""
+    return estimate if measured is None else F.coalesce(measured, estimate)

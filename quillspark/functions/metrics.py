@@ -207,3 +207,8 @@ def text_preference(first: Column, second: Column) -> Column:
 
 def is_correct(predicted: Column, answer: Column) -> Column:
     return F.coalesce(predicted == F.upper(answer), F.lit(False))
+
+
+def code_bleu(ref: Column, hyp: Column, scorer=None) -> Column:
+    """A scorer's result (an Arrow function of both texts), -1 where there is none or it gives null."""
+    return F.lit(-1.0) if scorer is None else F.coalesce(scorer(ref, hyp), F.lit(-1.0))

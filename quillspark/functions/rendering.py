@@ -80,3 +80,20 @@ def page_rows(docs: DataFrame, code: str, res: Column, font: Column, line_height
     cut = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(s) / c) - 1).cast("int")), lambda i: F.substring(s, i * c + 1, c))
     rows = docs.select(*[x for x in docs.columns if x != code], F.posexplode(F.flatten(F.transform(F.split(F.col(code), "\n"), cut))).alias("at", "text"), m.alias("_m"), margin.alias("_margin"), height.alias("_h"))
     return rows.select(*[x for x in docs.columns if x != code], (F.floor(F.col("at") / F.col("_m")) + 1).cast("int").alias("page"), F.pmod("at", "_m").alias("row"), "text", F.col("_margin").alias("x"), (F.col("_margin") + F.pmod("at", "_m") * F.col("_h")).alias("y"))
+
+
+def content_box(rows: DataFrame, keys: list[str], font: Column, keep: int = 0) -> DataFrame:
+    """Box of the printed letters of each page, widened by ``keep``; a page without letters has none."""
+    width = F.length(F.rtrim("text")) * font * L.CHAR_WIDTH
+    inked = rows.where(F.trim("text") != "")
+    left = F.length("text") - F.length(F.ltrim("text"))
+    return inked.groupBy(*keys, "page").agg((F.min(F.col("x") + left * font * L.CHAR_WIDTH) - keep).alias("left"), (F.min("y") - keep).alias("top"), (F.max(F.col("x") + width) + keep).alias("right"), (F.max(F.col("y") + font) + keep).alias("bottom"))
+
+
+def pair_rows(pairs: DataFrame, res: Column, font: Column, gap: int = 10) -> DataFrame:
+    """Printed rows of pairs(file, left, right) side by side: each side has half the width, pages by number.
+
+    The right side's x lies behind the left half and the gap; the longer side has the more pages."""
+    half = F.floor((res - gap) / 2)
+    side = lambda name, shift: page_rows(pairs.select("file", F.col(name).alias("code")), "code", half, font).select("file", F.lit(name).alias("side"), "page", "row", "text", (F.col("x") + shift).alias("x"), "y")
+    return side("left", F.lit(0)).unionByName(side("right", half + gap))

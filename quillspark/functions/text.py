@@ -289,3 +289,9 @@ def wrap_lines(x: Column, width: int) -> Column:
     """Rows of at most width characters; newlines end rows and blank lines stay."""
     cut = lambda s: F.when(s == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / width).cast("int")), lambda i: F.substring(s, i * width + 1, F.lit(width))))
     return F.flatten(F.transform(lines(x), cut))
+
+
+def trim_to_tokens(x: Column, most: int) -> tuple[Column, Column]:
+    """(text cut to a token budget, its tokens) by the estimate of four characters a token."""
+    cut = F.substring(x, 1, 4 * most)
+    return cut, F.when(x.isNull() | (x == ""), 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(cut) / 4)))

@@ -119,3 +119,21 @@ def mode_report(cells: DataFrame, modes=MODES) -> DataFrame:
     """cells(task, font_size, mode, cell) with a column for each mode, N/A where there is none."""
     wide = cells.groupBy("task", "font_size").pivot("mode", list(modes)).agg(F.first("cell"))
     return wide.select("task", "font_size", *(F.coalesce(F.col(f"`{m}`"), F.lit("N/A")).alias(m) for m in modes))
+
+
+def ordered_modes(results: DataFrame, ratios=(1, 2, 4, 8)) -> DataFrame:
+    """Ratio modes that occur or are standard, once each, by their number."""
+    standard = results.sparkSession.createDataFrame([(f"image_ratio{r:g}",) for r in ratios], "mode string")
+    seen = results.where(F.col("mode").startswith("image_ratio")).select("mode").distinct()
+    number = F.coalesce(F.regexp_extract("mode", r"^image_ratio(\d+(?:\.\d+)?)$", 1).try_cast("double"), F.lit(float("inf")))
+    return seen.union(standard).distinct().select("mode", number.alias("ratio"), mode_label(F.col("mode")).alias("label")).orderBy("ratio", "mode")
+
+
+def ratio_rows(rows: DataFrame) -> DataFrame:
+    """rows(mode, ...) with the ratio that the mode's name holds, null for other modes."""
+    return rows.withColumn("ratio", F.nullif(F.regexp_extract("mode", r"ratio(\d+(?:\.\d+)?)$", 1), F.lit("")).cast("double"))
+
+
+def with_base_ratio(ratios: Column) -> Column:
+    """Ratios with 1 added if missing, once each, ascending."""
+    return F.array_sort(F.array_union(ratios, F.array(F.lit(1.0))))

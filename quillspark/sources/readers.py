@@ -110,6 +110,13 @@ def results_by_mode(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("mode", F.coalesce("mode", F.nullif(F.regexp_extract(name, r"example_\d+_(.+)\.jsonl$", 1), F.lit(""))))
 
 
+def clone_results(spark: SparkSession, path: str) -> DataFrame:
+    """Saved clone results for evaluation alone: a JSON object of mode to a list of {pred, label}."""
+    kind = "map<string,array<struct<pred:boolean,label:boolean>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("mode", "rows"))
+    return whole.select("mode", F.explode("rows").alias("r")).select("mode", "r.pred", "r.label")
+
+
 def legacy_mode(name):
     """Mode bucket of an older file name."""
     return F.when(F.contains(name, F.lit("text_only")), "text_only").when(F.contains(name, F.lit("original")), "image").when(F.contains(name, F.lit("ratio")), "image_ratio").otherwise("unknown")
