@@ -180,7 +180,10 @@ def line_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", retrieval.line_chunks(_code(), "python").alias("c")).select("doc_id", F.size("c").alias("n_chunks"), F.element_at("c", -1).alias("last_chunk"))
 
 
-@query("function_chunks")
+@query("function_chunks", """
+SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_pattern, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS n_tree,
+  md5('import os' || chr(10) || chr(10) || '|@cache' || chr(10) || 'def f' || doc_id || '(x):' || chr(10) || '    return ' || n_chars || chr(10) || chr(10)
+    || CASE WHEN doc_id % 3 = 0 THEN '|class C:' || chr(10) || '    pass' || chr(10) ELSE '' END || '# ' || lang || chr(10) || '|@wrap' || chr(10) || chr(10) || 'async def g(y):' || chr(10) || '    yield y') AS digest FROM documents""")
 def function_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", retrieval.function_chunks(_code(), F.lit("python")).alias("by_pattern"), retrieval.syntax_chunks(_code(), F.lit("python")).alias("by_tree"))
     return rows.select("doc_id", F.size("by_pattern").alias("n_pattern"), F.size("by_tree").alias("n_tree"), F.md5(F.array_join("by_tree", "|")).alias("digest"))
