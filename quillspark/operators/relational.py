@@ -17,7 +17,7 @@ def pending(cases: DataFrame, done: DataFrame, keys=("code_id", "ratio"), retry_
     """Cases that are not done; a record with an error counts as done unless retried."""
     if retry_errors and "error" in done.columns:
         done = done.where(F.col("error").isNull())
-    return cases.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return cases.join(done.select(*keys), list(keys), "left_anti")  # repeated keys on the right do no harm
 
 
 def done_keys(records: DataFrame) -> DataFrame:
