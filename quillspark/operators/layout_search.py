@@ -24,6 +24,17 @@ def _by_band(target: Column, bands, at: int) -> Column:
     return out
 
 
+def _chars() -> Column:
+    return F.when(F.col("tokens") > 0, F.col("tokens") * L.CHARS_PER_TOKEN).otherwise(10000.0)
+
+
+def _area_font(line_height: float = 1.0) -> Column:
+    """Font for which the text's area is that of its pages."""
+    inner = F.col("res") - 2 * (F.col("res") * L.MARGIN)
+    size = F.sqrt(inner * inner * F.col("pages") / (_chars() * 0.6 * line_height))
+    return F.greatest(F.lit(L.MIN_FONT), F.least(F.lit(L.MAX_FONT), F.floor(size).cast("int")))
+
+
 def candidates(targets: DataFrame, per_image, bands, page_limit: int = 100, line_height: float = 1.0) -> DataFrame:
     """targets(k, target, tokens, ratio, used) with a row for each feasible (res, pages)."""
     target = F.col("target")
@@ -33,9 +44,8 @@ def candidates(targets: DataFrame, per_image, bands, page_limit: int = 100, line
     rows = rows.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).where("low <= high").withColumn("pages", F.explode(F.sequence("low", "high")))
     inner = F.col("res") - 2 * (F.col("res") * L.MARGIN)
     area = inner * inner * F.col("pages")
-    chars = F.when(F.col("tokens") > 0, F.col("tokens") * L.CHARS_PER_TOKEN).otherwise(10000.0)
-    font = F.greatest(F.lit(L.MIN_FONT), F.least(F.lit(L.MAX_FONT), F.floor(F.sqrt(area / (chars * 0.6 * line_height))).cast("int")))
-    rows = rows.withColumn("font", font).withColumn("fill", chars * ((F.col("font") * 0.6) * (F.col("font") * line_height)) / area)
+    chars = _chars()
+    rows = rows.withColumn("font", _area_font(line_height)).withColumn("fill", chars * ((F.col("font") * 0.6) * (F.col("font") * line_height)) / area)
     rows = rows.withColumn("off", F.abs(F.when(target > 0, F.col("pages") * F.col("per") / target).otherwise(1.0) - 1.0))
     return rows.withColumn("fresh", ~F.coalesce(F.array_contains("used", F.struct(F.col("res").cast("int").alias("res"), F.col("pages").cast("int").alias("pages"))), F.lit(False)))
 
@@ -66,17 +76,28 @@ def score_b() -> Column:
     return F.when(F.col("fresh"), score).otherwise(score * 0.95)
 
 
+def _rank() -> Column:
+    """A candidate as one number: its score to twelve digits, then the smaller page, then fewer pages.
+
+    A number, unlike a struct, is maximised by hash aggregation, so candidates are never sorted."""
+    at = F.when(F.col("res") < L.SMALLEST, F.col("res") / 14).otherwise(8 + (F.col("res") - L.SMALLEST) / 28).cast("long")
+    score = F.round(F.round("score", 12) * 1e12).cast("long")
+    return F.shiftleft(score, 21) + F.shiftleft(255 - at, 13) + (8191 - F.col("pages"))
+
+
 def _best(scored: DataFrame, by: list[str]) -> DataFrame:
-    """The candidate of the highest score; ties go to the smaller page, then to fewer pages."""
-    key = F.struct(F.round("score", 12).alias("score"), (-F.col("res")).alias("r"), (-F.col("pages")).alias("p"), F.col("font").alias("f"))
-    return scored.groupBy(*by).agg(F.max(key).alias("b"))
+    """The candidate of the highest rank with its tokens."""
+    best = scored.groupBy(*by).agg(F.max(_rank()).alias("rank"), F.max("tokens").alias("tokens"))
+    at = 255 - F.shiftright("rank", 13).bitwiseAND(255)
+    res = F.when(at < 8, at * 14).otherwise(L.SMALLEST + (at - 8) * 28)
+    return best.withColumn("res", res.cast("int")).withColumn("pages", (8191 - F.col("rank").bitwiseAND(8191)).cast("int"))
 
 
 def search_a(targets: DataFrame, page_limit: int = 100) -> DataFrame:
     """targets(k, target, tokens, ratio, used) to k, res, font, pages; 112, 4, 1 where nothing is feasible."""
     scored = candidates(targets, L.image_tokens_a, BANDS_A, page_limit).withColumn("score", score_a())
-    best = _best(scored, ["k"])
-    return targets.select("k").join(best, "k", "left").select("k", F.coalesce(-F.col("b.r"), F.lit(112)).cast("int").alias("res"), F.coalesce("b.f", F.lit(4)).cast("int").alias("font"), F.coalesce(-F.col("b.p"), F.lit(1)).cast("int").alias("pages"))
+    best = _best(scored, ["k"]).select("k", "res", _area_font().alias("font"), "pages")
+    return targets.select("k").join(best, "k", "left").select("k", F.coalesce("res", F.lit(112)).alias("res"), F.coalesce("font", F.lit(4)).alias("font"), F.coalesce("pages", F.lit(1)).alias("pages"))
 
 
 def search_b(targets: DataFrame, page_limit: int = 100, retries: int = 3) -> DataFrame:
@@ -85,16 +106,15 @@ def search_b(targets: DataFrame, page_limit: int = 100, retries: int = 3) -> Dat
     While a page of 900 or more has a font under 10, the best candidate of more pages replaces it, up to
     ``retries`` times. The best of each page count, at most page_limit of them, is all that this needs."""
     scored = candidates(targets, L.image_tokens_b, BANDS_B, page_limit).withColumn("score", score_b())
-    per_pages = _best(scored, ["k", "pages"]).groupBy("k").agg(F.collect_list("b").alias("all"))
-    pick = lambda options: F.array_max(options)
+    per_pages = _best(scored.withColumn("n", F.col("pages")), ["k", "n"]).withColumn("font", _area_font())
+    per_pages = per_pages.groupBy("k").agg(F.collect_list(F.struct("rank", "res", "pages", "font")).alias("all"))
 
     def again(cur, _):
-        more = F.filter("all", lambda c: c["p"] < cur["p"])
-        poor = (-cur["r"] >= 900) & (cur["f"] < 10) & (F.size(more) > 0)
-        return F.when(poor, pick(more)).otherwise(cur)
+        more = F.filter("all", lambda c: c["pages"] > cur["pages"])
+        return F.when((cur["res"] >= 900) & (cur["font"] < 10) & (F.size(more) > 0), F.array_max(more)).otherwise(cur)
 
-    best = per_pages.select("k", F.aggregate(F.sequence(F.lit(1), F.lit(retries)), pick(F.col("all")), again).alias("b"))
-    return targets.select("k").join(best, "k", "left").select("k", F.coalesce(-F.col("b.r"), F.lit(112)).cast("int").alias("res"), F.coalesce("b.f", F.lit(3)).cast("int").alias("font"), F.coalesce(-F.col("b.p"), F.lit(1)).cast("int").alias("pages"))
+    best = per_pages.select("k", F.aggregate(F.sequence(F.lit(1), F.lit(retries)), F.array_max("all"), again).alias("b"))
+    return targets.select("k").join(best, "k", "left").select("k", F.coalesce("b.res", F.lit(112)).alias("res"), F.coalesce("b.font", F.lit(3)).alias("font"), F.coalesce("b.pages", F.lit(1)).alias("pages"))
 
 
 def search_fitted(docs: DataFrame, page_limit: int = 100) -> DataFrame:
@@ -117,9 +137,10 @@ def search_fitted(docs: DataFrame, page_limit: int = 100) -> DataFrame:
     plain = match * tight * extra * F.when((target >= 5000) & (F.col("font") < 8), 0.8).otherwise(1.0)
     score = F.when(strong, F.pow(match, F.lit(2.5)) * F.pow(loose, F.lit(0.2)) * extra).when(target < 100, F.pow(match, F.lit(1.5)) * F.pow(tight, F.lit(0.75)) * extra).otherwise(plain)
     score = score * F.when((target < 1000) & (F.col("pages") > 2), 0.01).otherwise(1.0) * F.when(F.col("fresh"), 1.0).otherwise(0.95)
-    best = _best(rows.where(~poor).withColumn("score", score), ["k"])
-    found = docs.select("k", "sizes").join(best, "k", "left")
-    found = found.select("k", "sizes", F.coalesce(-F.col("b.r"), F.lit(112)).cast("int").alias("res"), F.coalesce(-F.col("b.p"), F.lit(1)).cast("int").alias("pages"), F.col("b.f").alias("f"))
+    best = _best(rows.where(~poor).withColumn("score", score), ["k"]).select("k", "res", "pages")
+    found = docs.select("k", "sizes", "num_lines", "max_line_chars").join(best, "k", "left")
+    first = L.optimal_font(F.col("res"), F.col("pages"), F.col("num_lines"), F.col("max_line_chars"))
+    found = found.select("k", "sizes", F.coalesce("res", F.lit(112)).alias("res"), F.coalesce("pages", F.lit(1)).alias("pages"), F.when(F.col("res").isNotNull(), first).alias("f"))
     fitted = L.max_font(F.col("sizes"), F.col("res"), F.col("pages"))
     fits = L.layout_pages(F.col("sizes"), F.col("res"), fitted)[0] <= F.col("pages")
     return found.select("k", "res", F.when(fits, fitted).otherwise(F.coalesce("f", F.lit(3))).cast("int").alias("font"), "pages")

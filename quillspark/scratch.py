@@ -5,17 +5,28 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def shared_folder(spark) -> str:
+    """The shared folder of the session; a temporary one, made once, only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="quillspark-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
+_own: list[str] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            shared = tempfile.mkdtemp(prefix="quillspark-")
-            atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    """df written to the shared folder and read again: its lineage is cut and it is computed once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
