@@ -30,25 +30,14 @@ CANDIDATE = r"[A-Za-z0-9+/_=]{16,}"
 THRESHOLD = 0.5
 #: Ordinary words from which labelled identifiers are built.
 PLAIN = (
-    "account action active address after again alpha amount answer archive array assert backup balance batch before begin binary block border branch bridge "
-    "browser buffer build button cache call cancel candidate category center change channel character check child class clean client close cluster code "
-    "collection color column command comment commit common compare complete config connect container content context control convert copy count country create "
-    "current custom data database date debug default delete deploy depth description detail device dialog digest directory display document domain download "
-    "driver dynamic edge editor element email enable encode engine entry error event example execute export extension factory failure feature field file filter "
-    "final finish first folder font format forward frame function gateway general generate global graph group handler hash header height hidden history host "
-    "image import index info initial input insert install instance integer interface internal invalid item iterator join kernel keyboard label language last "
-    "layer layout length level library license limit line link list listener load local lock logger login loop machine mailbox main manager mapping margin mask "
-    "match matrix maximum member memory menu merge message metadata method middle minimum missing mobile mode model module monitor mouse move multiple name "
-    "native network next node normal notice number object offset open operation option order origin output owner package page panel parallel parameter parent "
-    "parse partition password path pattern payment pending period permission person phone picture pipeline pixel platform player plugin point policy pool "
-    "position post prefix preview previous price primary print priority process product profile program progress project property protocol provider proxy public "
-    "query queue random range rate read record recover reference refresh region register release remote remove render repeat replace report request require reset "
-    "resource response result retry return review role root route router rule sample save schedule schema scope screen script search second section security "
-    "select selector sequence serial server service session setting shadow shape share shift signal simple single size sketch slide socket software sort source "
-    "space special split stack stage standard start state static station status step storage store stream string structure style submit success summary support "
-    "switch symbol system table target task template terminal test text thread threshold time title token tool topic total trace track traffic transfer transform "
-    "tree trigger type unique unit update upload usage user valid value variable vector version view visible volume warning watch weight widget width window word "
-    "work worker wrapper write zone thing other there where which while within without through nation there tion ment lich schaft heit keit eaux elle ción mente"
+    "account address alpha archive backup before block bridge build call category channel child client code column commit complete container control count "
+    "current database default depth device directory domain dynamic element encode error execute factory field final folder forward gateway global handler "
+    "height host index input instance internal iterator keyboard last length license link load logger machine manager mask maximum menu metadata minimum "
+    "mode monitor multiple network normal object operation origin package parallel parse path pending person pipeline player policy post previous print "
+    "product progress protocol public random read reference register remove replace require response return root rule schedule screen second select serial "
+    "session shape signal size socket source split standard static step stream style summary symbol target terminal thread title topic track transform type "
+    "update user variable view warning widget word wrapper zone thing other there where which while within without through nation there tion ment lich "
+    "schaft heit keit eaux elle ción mente"
 )
 _SPAN = "array<struct<start:int,end:int,kind:string>>"
 
@@ -72,7 +61,7 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     return rows.select(noise.alias("text"), F.lit(True).alias("random")).unionByName(rows.select(plain.alias("text"), F.lit(False).alias("random")))
 
 
-def train_ratios(samples: DataFrame, smooth: float = 0.5) -> list[float]:
+def train_ratios(samples: DataFrame, smooth: float = 2.0) -> list[float]:
     """Log-likelihood ratios of letter pairs, row-major over ALPHABET; pairs are counted in Spark."""
     k = len(ALPHABET)
     letters = F.filter(F.transform(F.split("text", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), lambda i: i >= 0)
