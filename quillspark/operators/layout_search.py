@@ -58,22 +58,23 @@ def score_a() -> Column:
     fill = F.col("fill")
     fill_score = F.when(fill >= 0.8, 1.0).when(fill >= 0.2, 0.2 + fill).otherwise(0.1)
     score = 1.0 / (1.0 + F.col("off") * 2.0) * fill_score * _bonus() / F.pow(F.col("pages"), F.lit(0.3))
-    return F.when(F.col("fresh"), score).otherwise(score * 0.95)
+    return score * F.when(F.col("fresh"), 1.0).otherwise(0.95)
 
 
 def score_b() -> Column:
-    target, ratio, fill = F.col("target"), F.col("ratio"), F.col("fill")
+    """Over candidates(); column ``match`` is the token match of the band (see search_b)."""
+    target, ratio, fill, match = F.col("target"), F.col("ratio"), F.col("fill"), F.col("match")
     strong = (target < 50) | F.coalesce(ratio >= 4.0, F.lit(False))
-    match = 1.0 / (1.0 + F.col("off") * _by_band(target, BANDS_B, 3))
     loose = F.when(fill >= 0.2, 0.9).otherwise(0.5)
     tight = F.when(fill >= 0.8, 1.0).when(fill >= 0.2, 0.2 + (fill - 0.2) * (0.8 / 0.6)).when(fill >= 0.1, 0.05).otherwise(0.01)
     extra = _bonus() * F.when(ratio <= 2.0, 1.2).otherwise(1.0)
-    plain = match * tight * extra
-    plain = F.when((target >= 5000) & (F.col("font") < 8), plain * 0.8).otherwise(plain)
+    plain = match * tight * extra * F.when((target >= 5000) & (F.col("font") < 8), 0.8).otherwise(1.0)
     score = F.when(strong, F.pow(match, F.lit(2.5)) * F.pow(loose, F.lit(0.2)) * extra).when(target < 100, F.pow(match, F.lit(1.5)) * F.pow(tight, F.lit(0.75)) * extra).otherwise(plain)
-    score = score / F.pow(F.col("pages"), F.lit(0.3))
-    score = F.when((target < 1000) & (F.col("pages") > 2), score * 0.01).otherwise(score)
-    return F.when(F.col("fresh"), score).otherwise(score * 0.95)
+    return score / F.pow(F.col("pages"), F.lit(0.3)) * F.when((target < 1000) & (F.col("pages") > 2), 0.01).otherwise(1.0) * F.when(F.col("fresh"), 1.0).otherwise(0.95)
+
+
+def _with_match(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("match", 1.0 / (1.0 + F.col("off") * _by_band(F.col("target"), BANDS_B, 3)))
 
 
 def _rank() -> Column:
@@ -105,7 +106,7 @@ def search_b(targets: DataFrame, page_limit: int = 100, retries: int = 3) -> Dat
 
     While a page of 900 or more has a font under 10, the best candidate of more pages replaces it, up to
     ``retries`` times. The best of each page count, at most page_limit of them, is all that this needs."""
-    scored = candidates(targets, L.image_tokens_b, BANDS_B, page_limit).withColumn("score", score_b())
+    scored = _with_match(candidates(targets, L.image_tokens_b, BANDS_B, page_limit)).withColumn("score", score_b())
     per_pages = _best(scored.withColumn("n", F.col("pages")), ["k", "n"]).withColumn("font", _area_font())
     per_pages = per_pages.groupBy("k").agg(F.collect_list(F.struct("rank", "res", "pages", "font")).alias("all"))
 
