@@ -17,11 +17,10 @@ BANDS_B = ((50, 0.5, 2.0, 1.0), (100, 0.7, 1.5, 1.5), (3000, 0.8, 1.25, 2.0), (5
 USED = "array<struct<res:int,pages:int>>"
 
 
-def _by_band(target: Column, bands, at: int) -> Column:
-    out = F.lit(float(bands[-1][at]))
-    for band in reversed(bands[:-1]):
-        out = F.when(target < band[0], float(band[at])).otherwise(out)
-    return out
+def _by_band(bands, at: int) -> Column:
+    """The bands' value for the column ``target``; as SQL text, which is one step for the analyser."""
+    cases = " ".join(f"WHEN target < {band[0]} THEN {float(band[at])}D" for band in bands[:-1])
+    return F.expr(f"CASE {cases} ELSE {float(bands[-1][at])}D END")
 
 
 def _chars() -> Column:
@@ -39,8 +38,8 @@ def candidates(targets: DataFrame, per_image, bands, page_limit: int = 100, line
     """targets(k, target, tokens, ratio, used) with a row for each feasible (res, pages)."""
     target = F.col("target")
     rows = targets.withColumn("res", F.explode(L.resolutions())).withColumn("per", per_image(F.col("res"), F.col("res")))
-    low = F.greatest(F.lit(1), F.ceil(target * _by_band(target, bands, 1) / F.col("per")))
-    high = F.least(F.floor(target * _by_band(target, bands, 2) / F.col("per")), F.lit(page_limit))
+    low = F.greatest(F.lit(1), F.ceil(target * _by_band(bands, 1) / F.col("per")))
+    high = F.least(F.floor(target * _by_band(bands, 2) / F.col("per")), F.lit(page_limit))
     rows = rows.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).where("low <= high").withColumn("pages", F.explode(F.sequence("low", "high")))
     inner = F.col("res") - 2 * (F.col("res") * L.MARGIN)
     area = inner * inner * F.col("pages")
@@ -50,31 +49,39 @@ def candidates(targets: DataFrame, per_image, bands, page_limit: int = 100, line
     return rows.withColumn("fresh", ~F.coalesce(F.array_contains("used", F.struct(F.col("res").cast("int").alias("res"), F.col("pages").cast("int").alias("pages"))), F.lit(False)))
 
 
-def _bonus() -> Column:
-    return 1.0 + (F.col("res") - L.SMALLEST) / float(L.LARGEST - L.SMALLEST)
+_BONUS = f"(1.0D + (res - {L.SMALLEST}) / {float(L.LARGEST - L.SMALLEST)}D)"
+_FRESH = "CASE WHEN fresh THEN 1.0D ELSE 0.95D END"
+_STRONG = "(target < 50 OR coalesce(ratio >= 4.0D, false))"
+_LOOSE = "CASE WHEN fill >= 0.2D THEN 0.9D ELSE 0.5D END"
 
 
 def score_a() -> Column:
-    fill = F.col("fill")
-    fill_score = F.when(fill >= 0.8, 1.0).when(fill >= 0.2, 0.2 + fill).otherwise(0.1)
-    score = 1.0 / (1.0 + F.col("off") * 2.0) * fill_score * _bonus() / F.pow(F.col("pages"), F.lit(0.3))
-    return score * F.when(F.col("fresh"), 1.0).otherwise(0.95)
+    """Over candidates(): token match, fill, preference for large pages and for few."""
+    fill = "CASE WHEN fill >= 0.8D THEN 1.0D WHEN fill >= 0.2D THEN 0.2D + fill ELSE 0.1D END"
+    return F.expr(f"1.0D / (1.0D + off * 2.0D) * {fill} * {_BONUS} / pow(pages, 0.3D) * {_FRESH}")
+
+
+def _score(tight: str, bonus: str, per_page: str) -> Column:
+    """The pipelines' score over candidates() with the column ``match``, the token match of the band."""
+    extra = f"({bonus} * CASE WHEN ratio <= 2.0D THEN 1.2D ELSE 1.0D END)"
+    small = "CASE WHEN target >= 5000 AND font < 8 THEN 0.8D ELSE 1.0D END"
+    by_target = f"CASE WHEN {_STRONG} THEN pow(match, 2.5D) * pow({_LOOSE}, 0.2D) * {extra} WHEN target < 100 THEN pow(match, 1.5D) * pow({tight}, 0.75D) * {extra} ELSE match * {tight} * {extra} * {small} END"
+    return F.expr(f"{by_target} {per_page} * CASE WHEN target < 1000 AND pages > 2 THEN 0.01D ELSE 1.0D END * {_FRESH}")
 
 
 def score_b() -> Column:
-    """Over candidates(); column ``match`` is the token match of the band (see search_b)."""
-    target, ratio, fill, match = F.col("target"), F.col("ratio"), F.col("fill"), F.col("match")
-    strong = (target < 50) | F.coalesce(ratio >= 4.0, F.lit(False))
-    loose = F.when(fill >= 0.2, 0.9).otherwise(0.5)
-    tight = F.when(fill >= 0.8, 1.0).when(fill >= 0.2, 0.2 + (fill - 0.2) * (0.8 / 0.6)).when(fill >= 0.1, 0.05).otherwise(0.01)
-    extra = _bonus() * F.when(ratio <= 2.0, 1.2).otherwise(1.0)
-    plain = match * tight * extra * F.when((target >= 5000) & (F.col("font") < 8), 0.8).otherwise(1.0)
-    score = F.when(strong, F.pow(match, F.lit(2.5)) * F.pow(loose, F.lit(0.2)) * extra).when(target < 100, F.pow(match, F.lit(1.5)) * F.pow(tight, F.lit(0.75)) * extra).otherwise(plain)
-    return score / F.pow(F.col("pages"), F.lit(0.3)) * F.when((target < 1000) & (F.col("pages") > 2), 0.01).otherwise(1.0) * F.when(F.col("fresh"), 1.0).otherwise(0.95)
+    tight = "CASE WHEN fill >= 0.8D THEN 1.0D WHEN fill >= 0.2D THEN 0.2D + (fill - 0.2D) * (0.8D / 0.6D) WHEN fill >= 0.1D THEN 0.05D ELSE 0.01D END"
+    return _score(tight, _BONUS, "/ pow(pages, 0.3D)")
+
+
+def score_fitted() -> Column:
+    tight = "CASE WHEN fill >= 0.9D THEN 1.0D WHEN fill >= 0.2D THEN 0.2D + (fill - 0.2D) * (0.8D / 0.7D) WHEN fill >= 0.1D THEN 0.05D ELSE 0.01D END"
+    bonus = f"(1.0D + (res - {L.SMALLEST}) / {float(L.LARGEST - L.SMALLEST)}D * CASE WHEN target < 1000 THEN 1.0D WHEN target >= 3000 THEN 0.5D ELSE 0.3D END)"
+    return _score(tight, bonus, "")
 
 
 def _with_match(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("match", 1.0 / (1.0 + F.col("off") * _by_band(F.col("target"), BANDS_B, 3)))
+    return rows.withColumn("match", 1.0 / (1.0 + F.col("off") * _by_band(BANDS_B, 3)))
 
 
 def _rank() -> Column:
@@ -126,19 +133,9 @@ def search_fitted(docs: DataFrame, page_limit: int = 100) -> DataFrame:
     rows = candidates(docs, L.image_tokens_b, BANDS_B, page_limit)
     rows = rows.withColumn("font", L.optimal_font(F.col("res"), F.col("pages"), F.col("num_lines"), F.col("max_line_chars")).cast("int"))
     rows = rows.withColumn("fill", L.fill_rate(F.col("font"), F.col("res"), F.col("pages"), F.col("num_lines"), F.col("avg_line_chars")))
-    target, fill, ratio = F.col("target"), F.col("fill"), F.col("ratio")
-    poor = F.when(target >= 10000, (fill < 0.03) & (F.col("font") < 6)).when(target >= 3000, (fill < 0.1) & (F.col("font") < 5)).otherwise(False)
-    strong = (target < 50) | F.coalesce(ratio >= 4.0, F.lit(False))
-    match = 1.0 / (1.0 + F.col("off") * _by_band(target, BANDS_B, 3))
-    loose = F.when(fill >= 0.2, 0.9).otherwise(0.5)
-    tight = F.when(fill >= 0.9, 1.0).when(fill >= 0.2, 0.2 + (fill - 0.2) * (0.8 / 0.7)).when(fill >= 0.1, 0.05).otherwise(0.01)
-    place = (F.col("res") - L.SMALLEST) / float(L.LARGEST - L.SMALLEST)
-    bonus = 1.0 + place * F.when(target < 1000, 1.0).when(target >= 3000, 0.5).otherwise(0.3)
-    extra = bonus * F.when(ratio <= 2.0, 1.2).otherwise(1.0)
-    plain = match * tight * extra * F.when((target >= 5000) & (F.col("font") < 8), 0.8).otherwise(1.0)
-    score = F.when(strong, F.pow(match, F.lit(2.5)) * F.pow(loose, F.lit(0.2)) * extra).when(target < 100, F.pow(match, F.lit(1.5)) * F.pow(tight, F.lit(0.75)) * extra).otherwise(plain)
-    score = score * F.when((target < 1000) & (F.col("pages") > 2), 0.01).otherwise(1.0) * F.when(F.col("fresh"), 1.0).otherwise(0.95)
-    best = _best(rows.where(~poor).withColumn("score", score), ["k"]).select("k", "res", "pages")
+    poor = F.expr("CASE WHEN target >= 10000 THEN fill < 0.03D AND font < 6 WHEN target >= 3000 THEN fill < 0.1D AND font < 5 ELSE false END")
+    rows = _with_match(rows.where(~poor)).withColumn("score", score_fitted())
+    best = _best(rows, ["k"]).select("k", "res", "pages")
     found = docs.select("k", "sizes", "num_lines", "max_line_chars").join(best, "k", "left")
     first = L.optimal_font(F.col("res"), F.col("pages"), F.col("num_lines"), F.col("max_line_chars"))
     found = found.select("k", "sizes", F.coalesce("res", F.lit(112)).alias("res"), F.coalesce("pages", F.lit(1)).alias("pages"), F.when(F.col("res").isNotNull(), first).alias("f"))
