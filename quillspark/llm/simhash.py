@@ -166,22 +166,25 @@ def near_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """docs(doc_id, text) to doc_id, digest, fp and component_id (smallest doc_id reachable), a row per input row."""
+    """docs(doc_id, text) to doc_id, digest, fp, component_id (smallest doc_id reachable) and root, a row per input row.
+
+    root is a fingerprint that names the component; component_id does not where ids repeat or are null."""
     made = shared.written(fingerprints(docs, width), "simhash")
     fps = shared.written(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = connected_components(near_links(fps.select("fp"), radius))
     member = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = member.join(named, "root").select("fp", "component_id")
-    return made.join(label, "fp").select("doc_id", "digest", "fp", "component_id")
+    label = member.join(named, "root").select("fp", "component_id", "root")
+    return made.join(label, "fp").select("doc_id", "digest", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The row of docs whose id names its group; of several rows with that id the one of least text digest.
+    """One row of docs per group: of the least doc_id (nulls last), and of several rows with that id the one of least text digest.
 
     Rows equal in id and text are one; which of them stays is open where other columns differ."""
     groups = near_duplicates(docs, width, radius).where("doc_id <=> component_id")
-    first = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min("digest").alias("_digest"))
+    # rows of one text share a root, so no two roots name the same id and digest
+    first = groups.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("digest").alias("_digest"))
     kept = docs.withColumn("_text_digest", F.xxhash64(F.col("text").cast("string")))
     kept = kept.join(first, kept.doc_id.cast("long").eqNullSafe(first._id) & (kept._text_digest == first._digest), "left_semi")
     return kept.dropDuplicates(["doc_id", "_text_digest"]).drop("_text_digest")

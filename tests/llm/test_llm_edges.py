@@ -128,6 +128,17 @@ def test_simhash(docs, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({min(v) for v in ids.values()})
 
 
+def test_one_of_each_near_duplicate_group_stays(spark):
+    """Also where representatives share an id or have none."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))
+    lone, copied, twice, named = [text() for _ in range(300)], text(), [text() for _ in range(3)], text()
+    rows = [(None, t, "s") for t in lone] + [(None, copied, "s")] * 4 + [(7, t, "s") for t in twice] + [(7, twice[0], "s"), (9, twice[1], "s"), (None, named, "s"), (12, named, "s"), (11, named, "s")]
+    rng.shuffle(rows)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(None, t) for t in lone] + [(None, copied)] + [(7, t) for t in twice] + [(11, named)], key=repr)
+
+
 @pytest.mark.parametrize("tile", [4, 4096])
 def test_tiles_find_all_links(spark, tile):
     rng = np.random.default_rng(2)
