@@ -2,11 +2,12 @@ r"""Secret scans: base patterns, and character Markov models of random strings a
 
 Both models are first-order over a fixed alphabet, trained from labelled samples by DataFrame aggregates;
 only the table of log-likelihood ratios, one number per pair of letters, reaches the driver. A run of
-secret-like characters whose mean ratio exceeds the threshold is a span of kind ``markov``. All of it runs
-in Spark's own functions.
+secret-like characters whose mean ratio exceeds the threshold is a span of kind ``markov``; of another run,
+each stretch whose ratios sum to more than the evidence asked for is one, widened to the marks / _ = around
+it, so that a secret is found beside ordinary text. All of it runs in Spark's own functions.
 
-Defined cases: null text is empty and has no spans; spans count code points; a markov span that touches a
-base span is left out, base spans always stay; repeated rows give repeated results; other columns are kept
+Defined cases: null text is empty and has no spans; spans count code points; base spans
+always stay, and what they leave of a run is scored as a run of its own; repeated rows give repeated results; other columns are kept
 by redact() and ignored by scan().
 """
 
@@ -17,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let
 from quillspark.llm import shared
 
 #: The base patterns; group 2 of assign has 12 characters or more, the others are complete here.
@@ -28,6 +30,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
 CANDIDATE = r"[A-Za-z0-9+/_=]{16,}"
 #: Mean log-likelihood ratio per pair above which a run counts as random.
 THRESHOLD = 0.5
+#: Sum of log-likelihood ratios above which a stretch within a run counts as random.
+EVIDENCE = 9.0
+SEPARATORS = "/_="
 #: Ordinary words from which labelled identifiers are built.
 PLAIN = (
     "account address alpha archive backup before block bridge build call category channel child client code column commit complete container control count "
@@ -40,6 +45,7 @@ PLAIN = (
     "schaft heit keit eaux elle ción mente"
 )
 _SPAN = "array<struct<start:int,end:int,kind:string>>"
+_FOLD = "struct<at:int,part:int,start:int,sum:double,best:double,end:int,out:array<struct<start:int,end:int>>>"
 
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
@@ -105,19 +111,66 @@ def markov_score(text: Column, ratios: list[float]) -> Column:
     return total / F.greatest(F.length(text) - 1, F.lit(1))
 
 
+def stretches(text: Column, ratios: list[float], evidence: float = EVIDENCE) -> Column:
+    """Ranges (start, end) of a string over ALPHABET whose ratios sum to more than evidence, by one running sum.
+
+    A stretch ends where its sum falls to zero or by evidence below its best, and is widened to whole parts
+    between separators; ranges that then overlap are joined."""
+    k = len(ALPHABET)
+    table, letters, marks = F.array(*map(F.lit, ratios)), F.lit(ALPHABET), F.array(*(F.lit(ALPHABET.index(c)) for c in SEPARATORS))
+    codes = F.transform(F.split(text, ""), lambda c: F.instr(letters, c) - 1)
+    pairs = let(codes, lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), lambda a, b: F.struct(F.array_contains(marks, b).alias("mark"), F.element_at(table, a * k + b + 1).alias("r"))))
+    state = lambda at, part, start, sum_, best, end, out: F.struct(at.alias("at"), part.alias("part"), start.alias("start"), sum_.alias("sum"), best.alias("best"), end.alias("end"), out.alias("out")).cast(_FOLD)
+    closed = lambda acc: F.when(acc["best"] > evidence, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+
+    def step(acc, x):
+        total = acc["sum"] + x["r"]
+        part = F.when(x["mark"], acc["at"] + 1).otherwise(acc["part"])
+        over, better = (total <= 0) | (total < acc["best"] - evidence), total > acc["best"]
+        return F.when(over, state(acc["at"] + 1, part, part, F.lit(0.0), F.lit(0.0), F.lit(0), closed(acc))).otherwise(
+            state(acc["at"] + 1, part, acc["start"], total, F.greatest(total, acc["best"]), F.when(better, acc["at"] + F.when(x["mark"], 0).otherwise(1)).otherwise(acc["end"]), acc["out"])
+        )
+
+    first = F.when(F.substring(text, 1, 1).isin(*SEPARATORS), 1).otherwise(0)
+    start = state(F.lit(1), first, first, F.lit(0.0), F.lit(0.0), F.lit(0), F.array().cast("array<struct<start:int,end:int>>"))
+    found = F.aggregate(pairs, start, step, closed)
+    # a regular expression from the end of a stretch takes the rest of its part
+    rest = lambda s: F.length(F.regexp_extract(F.substring(text, s["end"] + 1, F.length(text)), f"^[^{SEPARATORS}]*", 0))
+    wide = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["end"] + rest(s)).cast("int").alias("end")))
+
+    def join(acc, s):
+        last = F.element_at(acc, -1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(wide, F.array().cast("array<struct<start:int,end:int>>"), join)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with as many blanks in place of each span; spans are sorted by start and may overlap."""
+
+    def cut(acc, s):
+        at, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, at - acc["at"]), F.repeat(F.lit(" "), end - at))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    left = F.aggregate(spans, start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, left).otherwise(text)
+
+
 def scan(docs: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with columns assign, access, hex, markov: arrays of (start, end, kind), end exclusive."""
     ratios = ratios or train_ratios(labelled_samples(docs.sparkSession))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumns({f"_{k}": v for k, v in base_spans(text).items()})
-    # only runs that no base span touches may add a span
-    runs = _located(text, CANDIDATE, "markov")
-    found = found.withColumn("_runs", runs)
-    # letters of hex and access are letters of a run, so what touches a run lies within it: its own text tells
-    run = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    fresh = lambda s: ~run(s).rlike(HEX) & ~run(s).rlike(ACCESS) & (markov_score(run(s), ratios) > threshold)
-    clear = lambda s: ~F.exists("_assign", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return found.withColumn("_markov", F.filter(F.filter("_runs", fresh), clear)).drop("_runs")
+    base = F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    found = found.withColumn("_left", _blanked(text, base))
+    found = found.withColumn("_runs", _located(F.col("_left"), CANDIDATE, "markov"))
+    whole = lambda run: F.array(F.struct(F.lit(0).alias("start"), F.length(run).alias("end")))
+    random = lambda run: F.when(markov_score(run, ratios) > threshold, whole(run)).otherwise(stretches(run, ratios))
+    within = lambda s: let(F.substring("_left", s["start"] + 1, s["end"] - s["start"]), random)
+    placed = lambda s: F.transform(within(s), lambda x: F.struct((s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end"), F.lit("markov").alias("kind")))
+    return found.withColumn("_markov", F.flatten(F.transform("_runs", placed)).cast(_SPAN)).drop("_runs", "_left")
 
 
 def _listed(spans: Column, by_start: bool) -> Column:
