@@ -46,14 +46,16 @@ _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 LEAST_DIGITS = 4
 _SPELL = re.compile(rf"(?i)(?<!\w)(?:(?:{_WORDS})(?!\w)[\s,;-]{{0,3}}|[0-9](?=[\s,;-]{{0,3}}(?:[0-9]|(?:{_WORDS})(?!\w)))[\s,;-]{{0,3}}){{{LEAST_DIGITS - 1},}}+(?:(?:{_WORDS})(?!\w)|[0-9]+)?")
 _ONE = re.compile(rf"(?i)(?<!\w)(?:{_WORDS})(?!\w)")
-_HINTS = tuple(w for w in SPELLED if len(w) > 2)
+#: Letters that patterns without case take for s and i.
+_FOLD = str.maketrans("ſıİ", "sii")
 _AT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:at|arroba|@)\s{0,2}[\])}>]\s{0,2}|\s{1,2}(?:at|arroba)\s{1,2}|\s{0,2}@\s{0,2}")
 _DOT = r"(?:\s{0,2}[\[({<]\s{0,2}(?:dot|punto|point|punkt|\.)\s{0,2}[\])}>]\s{0,2}|\s{1,2}(?:dot|punto|point|punkt)\s{1,2}|\.)"
 _HOST = re.compile(rf"(?i)[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+")
 _DOTS = re.compile(rf"(?i){_DOT}")
 _NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9]){_DOT}(?=[0-9])")
 _PLUS = re.compile(r"(?i)(?<!\w)plus\s{1,2}(?=[0-9(])")
-_DISGUISE = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|arroba|@|dot|punto|point|punkt)\s{0,2}[\])}>]|\s(?:dot|punto|point|punkt)\s|\s@|@\s")
+#: Wherever _AT or _DOT takes more than a plain mark this matches too, but for a bare "at", which needs such a dot.
+_DISGUISE = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|arroba|@|dot|punto|point|punkt|\.)\s{0,2}[\])}>]|\s(?:arroba|dot|punto|point|punkt)\s|\s@|@\s")
 _LOOKS = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + INVISIBLE + "！-～\U0001d400-\U0001d7ff]")
 _OUT = "doc_id long, spans array<struct<kind:string,start:int,end:int,disguised:boolean>>"
 
@@ -136,7 +138,7 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
         if last is not None and w.start() > last:
             out.append((m.start() + last, m.start() + w.start(), ""))
         if not w[0].isdigit():
-            out.append((m.start() + w.start(), m.start() + w.end(), SPELLED[w[0].lower()]))
+            out.append((m.start() + w.start(), m.start() + w.end(), SPELLED[w[0].translate(_FOLD).lower()]))
         last = w.end()
     return out
 
@@ -146,9 +148,9 @@ def rewrite(text: str) -> Rewritten | None:
     out = Rewritten(text)
     if not text.isascii() and _LOOKS.search(text):
         out.replace([(m.start(), m.end(), _plain(m[0])) for m in _LOOKS.finditer(text)])
-    low = out.text.lower()
-    if sum(map(low.count, _HINTS)) >= LEAST_DIGITS - 1:
+    if _ONE.search(out.text):
         out.replace([e for m in _SPELL.finditer(out.text) if _ONE.search(m[0]) for e in _spelled(m)])
+    if "plus" in out.text.translate(_FOLD).lower():
         out.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(out.text)])
     if _DISGUISE.search(out.text):
         edits, floor = [], 0

@@ -332,6 +332,16 @@ def test_disguises(text, want):
     assert [(k, text[a:b]) for k, a, b, _ in spans] == ([want] if want else [])
 
 
+@pytest.mark.parametrize("text, kind, hidden", [
+    ("+49 30 one two 3456 78", "phone", "+49 30 one two 3456 78"), ("+49 30 oh 3456 78", "phone", "+49 30 oh 3456 78"), ("plus 49 30 1234567", "phone", "plus 49 30 1234567"),
+    ("ana arroba ejemplo.es", "email", "ana arroba ejemplo.es"), ("ana@ejemplo[.]es", "email", "ana@ejemplo[.]es"), ("ana at ejemplo (.) es", "email", "ana at ejemplo (.) es"), ("192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"),
+    ("+49 30 ſix two 3456 78", "phone", "+49 30 ſix two 3456 78"),
+])
+def test_disguises_alone_and_beside_others(text, kind, hidden):
+    for more in ("", " ; phone", " ; bob [at] example [dot] org", " . Then one two three four"):
+        assert (kind, hidden) in [(k, (text + more)[a:b]) for k, a, b, _ in pii.find_spans(text + more)]
+
+
 def test_decontamination(spark, docs, empty):
     item = "Alice bought 12 apples at the market and gave Bob 5 of them; how many apples does Alice have left after 3 days?"
     items = [(1, item), (2, "one two"), (3, None), (4, "the quick brown fox jumps over the lazy dog near the old river bank today")]
