@@ -61,6 +61,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, n, pieces = [0], 0, len(source), self.pieces  # pieces: (node, text) or (node, None) for a break
+        places = defaultdict(list)  # tag to the places in the stack where it is open
         while at < n:
             lt = source.find("<", at)
             if lt < 0:
@@ -86,10 +87,10 @@ class Page:
                 continue
             at, tag = m.end(), m[2].lower()
             if m[1]:
-                self._close(tag, stack)
+                self._close(tag, stack, places)
                 continue
             if tag in BLOCK:
-                self._implied(tag, stack)
+                self._implied(tag, stack, places)
                 pieces.append((stack[-1], None))
             if tag in VOID:
                 continue
@@ -102,42 +103,47 @@ class Page:
                 end = re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>").search(source, at)
                 at = end.end() if end else n
             elif not m[3].endswith("/") or tag in BLOCK:
+                places[tag].append(len(stack))
                 stack.append(node)
 
-    def _implied(self, tag: str, stack: list[int]) -> None:
+    def _cut(self, stack: list[int], places: dict[str, list[int]], at: int) -> None:
+        """Close the elements from a place of the stack on."""
+        for node in stack[at:]:
+            places[self.tag[node]].pop()
+        del stack[at:]
+
+    def _implied(self, tag: str, stack: list[int], places: dict[str, list[int]]) -> None:
         closes, bound = IMPLIED.get(tag, (set(), set()))
         for i in range(len(stack) - 1, 0, -1):
             name = self.tag[stack[i]]
             if name in closes or name == "p":
-                del stack[i:]
+                self._cut(stack, places, i)
                 if name in closes or not closes:
                     return
                 continue
             if name in bound or (name in BLOCK and not closes):
                 return
 
-    def _close(self, tag: str, stack: list[int]) -> None:
+    def _close(self, tag: str, stack: list[int], places: dict[str, list[int]]) -> None:
         if tag in BLOCK:
             self.pieces.append((stack[-1], None))
-        for i in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-            if self.tag[stack[i]] == tag:
-                del stack[i:]
-                return
-            if tag not in BLOCK and self.tag[stack[i]] in ("td", "th", "article", "main", "body"):
-                return
+        last = lambda name: places[name][-1] if places.get(name) else 0
+        at = last(tag)
+        if at and (tag in BLOCK or at >= max(map(last, ("td", "th", "article", "main", "body")))):
+            self._cut(stack, places, at)
 
     @staticmethod
     def _words(attributes: str) -> tuple[str, ...]:
         if not attributes or "=" not in attributes and "hidden" not in attributes:
             return ()
-        out = []
+        out = set()
         for m in _ATTR.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "hidden" or m[1].lower() == "style" and "display:none" in value.replace(" ", ""):
-                out.append("hidden!")
+                out.add("hidden!")
             elif m[1].lower() != "style":
-                out += [next((h for p, h in STEMS if w.startswith(p)), w) for w in _WORD.findall(value)]
-        return tuple(out[:12])
+                out.update(h for w in _WORD.findall(value) if (h := next((h for p, h in STEMS if w.startswith(p)), w)) in HINTS)
+        return tuple(sorted(out))
 
 
 #: Words of class, id and role that are told apart; others count as "other" (fixed values).
@@ -173,8 +179,7 @@ def observations(page: Page) -> list[list[tuple]]:
             out.append([])
             continue
         seen = [("under", (page.tag[i], page.tag[page.above[i]] if i else "")), ("tag", page.tag[i])]
-        words = {w for w in page.marks[i] if w in HINTS or w == "hidden!"}
-        seen += [("mark", w) for w in sorted(words)]
+        seen += [("mark", w) for w in page.marks[i]]
         if own[i]:
             seen.append(("own", (min(5, own[i].bit_length()), min(3, stops[i]))))
         if total[i]:

@@ -404,6 +404,18 @@ def test_html(spark):
     assert html_extract.main_text(d.limit(0)).count() == 0
 
 
+def test_html_long_class_lists_and_deep_nesting():
+    busy = "md:px-4 w-full lg:mt-2 flex items-center justify-between"
+    assert html_extract.Page(f"<div class='{busy} sidebar comments'><p>x</p></div>").marks[1] == ("comments", "sidebar")
+    assert html_extract.Page(f"<div class='{busy} a b c' hidden>x</div>").marks[1] == ("hidden!",)
+    model = html_extract.Model(html_extract.labelled_pages())
+    text = lambda source: html_extract.text_of(page := html_extract.Page(source), [p > 0.5 for p in model.marginals(page)])
+    for tag in ("nav", "footer"):
+        page = f"<{tag}>{'<b>' * 600}menu</{tag}><article><h1>Title here</h1><p>Words of the article, which goes on. It has more, too.</p></article>"
+        assert text(page) == "Title here\nWords of the article, which goes on. It has more, too."
+    assert text(f"<article><p>Some words, here.</p><p {'class=' + chr(39) + busy + ' a b c' + chr(39)} hidden>gone, away.</p></article>") == "Some words, here."
+
+
 def test_html_held_out_accuracy():
     model = html_extract.Model(html_extract.labelled_pages())
     right = total = same = 0
