@@ -5,47 +5,36 @@ Words are ``[^\\x20\\x09-\\x0D]+`` over the UTF-8 bytes, which is what ``bytes.s
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.plans.tables import spread
+from quillspark.scratch import checkpointed, shared_folder
+
 #: Text bytes that one chunk or hash bucket of a packed exchange should stand for.
 CHUNK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer splits than cores, which is small, is dealt out to all of them."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """A table; a small one of fewer splits than cores is dealt out to all of them (see tables.spread)."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return shared or jsc.getCheckpointDir().get()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="quillspark-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(shared)
+    """The shared folder, set as the session's checkpoint folder too; raises on a cluster that names none."""
+    shared = shared_folder(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared)
     return shared
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return checkpointed(df, what)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
