@@ -17,6 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(rows: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
     """rows of a file scan, dealt to all cores if they are few bytes in few splits."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if size <= small and rows.rdd.getNumPartitions() < cores else rows
