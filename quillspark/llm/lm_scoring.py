@@ -1,24 +1,29 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root holds every training word; deeper states are contexts of one or two preceding words that occur in
-at least the share ``p_min`` of the training tokens, which bounds them by 1 / p_min for each length, and
-whose next-word distribution diverges from that of their suffix: the Kullback-Leibler distance, less its
-sparse-sample bias of half a unit per distinct follower, must reach ``epsilon``. Suffixes of a kept state
-are kept. A token is scored in the longest kept state that is a suffix of what precedes it, smoothed toward
-the next shorter one by the count of distinct followers (Witten-Bell), ending in the root's
-(c + 0.1) / (N + 0.1 * (V + 1)).
-
-Next-word counts grow with the corpus and never meet in one place: each chunk of documents sends its
-distinct (context, word) entries to buckets by word, where they are summed over all chunks; the sums go
-back to the chunks that asked. Only the bounded set of contexts reaches the driver.
+The root holds every training word. Deeper states are contexts of one to ``depth`` preceding words that occur
+at least ``least`` times in training (a fixed number, so the tree grows with the corpus) and whose next-word
+distribution diverges from that of their suffix: the Kullback-Leibler distance, less its sparse-sample bias
+of half a unit per distinct follower, must reach ``epsilon``. A token is scored in the longest kept state that
+is a suffix of what precedes it; each state is smoothed toward the next shorter kept one by its count of
+distinct followers (Witten-Bell), ending in the root's (c + 0.1) / (N + 0.1 * (V + 1)).
+
+No counts meet in one place. Documents are packed once into chunks of bounded text, written to the shared
+folder. Level by level, each chunk sends its distinct (context, word) entries of frequent contexts to buckets
+by context, where they are summed over all chunks and the contexts tested, and gets back the sums it asked
+for; the sums of one level tell it which contexts of the next are frequent. A context of more than ``split``
+occurrences is dealt over several buckets by follower; only of such contexts, at most 1 / SPLIT_SHARE of a
+level, statistics reach the driver. A chunk sends at most one row a bucket and never an empty one, so rows
+never outnumber entries.
 
 Defined cases: null or empty text is the end token alone; null doc_id counts as empty text in the fold;
-repeated rows get a row each; without training rows every token has probability 1; other columns are ignored.
+repeated rows get a row each; without training rows every token has probability 1; one text longer than a
+chunk is a chunk of its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -27,308 +32,325 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import shared
 
-FOLDS, P_MIN, MIN_COUNT, EPSILON = 10, 3e-4, 8, 0.02
+FOLDS, DEPTH, MIN_COUNT, EPSILON = 10, 3, 500, 0.02
+#: Occurrences of a context that one bucket takes; at least this share of all tokens, which bounds the split contexts.
+SPLIT, SPLIT_SHARE = 1_000_000, 1e-5
 #: The end token; white space, so no word equals it.
-END = xxhash.xxh64_intdigest(b"\n")
-FLUSH_TOKENS = 2_000_000
-_WORDS = "bucket int, words binary, counts binary"
-_TOTALS = "n long, v long, words array<long>, counts array<long>"
-_ENTRIES = "bucket int, chunk int, w binary, wn binary, pw binary, p1 binary, pn binary, tw binary, t1 binary, t2 binary, tn binary"
-_SUMS = "chunk int, bucket int, w binary, p binary, t binary, stats array<struct<c1:int,c2:int,n:long,d:long,a:double,b:double>>"
+END = b"\n"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_STATE = "chunk long, bytes long, doc_ids array<long>, train array<boolean>, sizes array<int>, words binary, codes binary"
+_SENT = "bucket int, chunk long, e binary, k binary, p binary, c binary, cn binary, ct binary, cs binary"
+_SUMS = "level int, chunk long, bucket int, counts binary, d binary, kept binary, stats array<struct<c:long,n:long,d:long,a:double,t:long>>"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, deep_tokens long"
 
 
-def _tokens(tab, known: shared.WordHashes):
-    """Hashes of all tokens of a table and the number in each row."""
-    parts = []
-    for raw in shared.text_bytes(tab.column("text")):
-        words = raw.lower().split()
-        made = np.empty(len(words) + 1, np.uint64)
-        made[:-1] = shared.word_hashes(words, known)
-        made[-1] = END
-        parts.append(made)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return flat, np.array([len(p) for p in parts], np.int64)
+class _Codes(dict):
+    """Word bytes to their number in order of appearance."""
 
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+def _pack(most: int):
+    """Texts to chunks of about ``most`` bytes: hashes of the distinct words and a number per token."""
 
-def _word_counts(n_buckets: int):
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        def flush(parts):
-            words, counts = np.unique(np.concatenate(parts), return_counts=True)
-            edge = shared.bucket_edges(words, n_buckets)
-            full = np.flatnonzero(np.diff(edge))
-            cut = lambda x, b: x[edge[b] : edge[b + 1]].tobytes()
-            columns = [pa.array(full, pa.int32()), pa.array([cut(words, b) for b in full], pa.binary()), pa.array([cut(counts, b) for b in full], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "words", "counts"])
+        def flush(seq):
+            words = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+            codes = np.concatenate(parts).astype(np.uint32)
+            columns = [[(part << 32) + seq], [held], [ids], [train], [[len(p) for p in parts]], [shared.planes(words)], [shared.planes(codes)]]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "bytes", "doc_ids", "train", "sizes", "words", "codes"])
 
-        parts, held, known = [], 0, shared.WordHashes()
+        part, seq, held, known, parts, ids, train = TaskContext.get().partitionId(), 0, 0, _Codes(), [], [], []
+        end = known[END]
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                flat, _ = _tokens(b.slice(at, 500), known)
-                parts.append(flat)
-                held += len(flat)
-                if held >= FLUSH_TOKENS:
-                    yield flush(parts)
-                    parts, held = [], 0
-                    known.clear()
-        if held:
-            yield flush(parts)
+            for i, t, raw in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), shared.text_bytes(b.column("text")), strict=True):
+                words = raw.lower().split()
+                made = np.full(len(words) + 1, end, np.int64)
+                made[:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                parts.append(made)
+                ids.append(i)
+                train.append(t)
+                held += len(raw)
+                if held >= most:
+                    yield flush(seq)
+                    seq, held, known, parts, ids, train = seq + 1, 0, _Codes(), [], [], []
+                    end = known[END]
+        if parts:
+            yield flush(seq)
 
     return run
 
 
-def _total(key, tab):
-    """Sum the words of a bucket; rare ones count but are not listed."""
-    import pyarrow as pa
-
-    words = np.concatenate([np.frombuffer(x, np.uint64) for x in tab.column("words").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in tab.column("counts").to_pylist()])
-    words, inverse = np.unique(words, return_inverse=True)
-    counts = np.bincount(inverse, weights=counts, minlength=len(words)).astype(np.int64)
-    often = counts >= MIN_COUNT
-    kind = pa.list_(pa.int64())
-    return pa.table({"n": [int(counts.sum())], "v": [len(words)], "words": pa.array([words[often].view(np.int64)], kind), "counts": pa.array([counts[often]], kind)})
-
-
-class _Entries:
-    """The distinct words, pairs and triples of a chunk in an order that does not depend on its rows' order."""
-
-    def __init__(self, tab, contexts: np.ndarray):
-        flat, self.sizes = _tokens(tab, shared.WordHashes())
-        n, self.base = len(flat), len(contexts) + 1
-        at = np.searchsorted(contexts, flat) if len(contexts) else np.zeros(n, np.int64)
-        at[at == len(contexts)] = 0
-        code = np.where(contexts[at] == flat, at + 1, 0) if len(contexts) else np.zeros(n, np.int64)
-        starts = np.cumsum(self.sizes) - self.sizes
-        self.starts = starts
-        c1, c2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        c1[1:] = code[:-1]
-        c1[starts] = 0
-        c2[2:] = code[:-2]
-        c2[starts] = 0
-        c2[starts[self.sizes > 1] + 1] = 0
-        c2[c1 == 0] = 0
-        self.c1, self.c2 = c1, c2
-        self.words, self.in_words = np.unique(flat, return_inverse=True)
-        self.at_pair, self.at_triple = np.flatnonzero(c1), np.flatnonzero(c2)
-        pair = self.in_words[self.at_pair] * self.base + c1[self.at_pair]
-        self.pairs, self.in_pairs = np.unique(pair, return_inverse=True)
-        triple = (self.in_words[self.at_triple] * self.base + c1[self.at_triple]) * self.base + c2[self.at_triple]
-        self.triples, self.in_triples = np.unique(triple, return_inverse=True)
-
-    def counts(self, weight: np.ndarray):
-        sums = lambda inverse, at, n: np.bincount(inverse, weights=weight[at], minlength=n).astype(np.uint32)
-        return sums(self.in_words, slice(None), len(self.words)), sums(self.in_pairs, self.at_pair, len(self.pairs)), sums(self.in_triples, self.at_triple, len(self.triples))
-
-
-def _emitter(contexts: np.ndarray, n_buckets: int):
-    def emit(key, tab):
+class Rules:
+    """What every chunk and bucket must agree on."""
+
+    def __init__(self, buckets: int, least: int, epsilon: float, depth: int, split: int):
+        self.buckets, self.least, self.epsilon, self.depth, self.split = buckets, least, epsilon, depth, split
+        self.n = self.v = 0
+        #: Of each level the split contexts: sorted hashes, distinct followers, whether kept.
+        self.states = []
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
+
+    def learn(self, stats: list) -> None:
+        """Take the statistics of a level's split contexts; the root's are those of level 0."""
+        if not self.states:
+            self.n, self.v = (int(stats[0].n), int(stats[0].d)) if stats else (0, 0)
+            self.split = max(self.split, math.ceil(self.n * SPLIT_SHARE))
+        stats = sorted(stats, key=lambda r: r.c % (1 << 64))
+        c, n, d, t = (np.array([r[i] for r in stats], np.int64) for i in (0, 1, 2, 4))
+        self.states.append((c.view(np.uint64), d, self.keeps(n, d, np.array([r.a for r in stats], float), t)))
+
+    def keeps(self, n, d, a, total) -> np.ndarray:
+        """Whether the divergence of contexts reaches epsilon; a is the sum of k * log(k / parent's count)."""
+        some = np.maximum(n, 1)
+        return (n >= self.least) & ((a - some * np.log(some / np.maximum(total, 1)) - d / 2) / some >= self.epsilon)
+
+
+def _mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = context * _ODD + word
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class Chunk:
+    """The tokens of a chunk and, level by level, the entries that it sends and the sums that come back."""
+
+    def __init__(self, tab, rules: Rules):
+        row = {name: tab.column(name)[0] for name in tab.column_names}
+        self.rules, self.doc_ids, self.train = rules, row["doc_ids"], row["train"]
+        self.sizes = np.array(row["sizes"].as_py(), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.tokens = shared.unplanes(row["words"].as_py(), np.uint64)[shared.unplanes(row["codes"].as_py(), np.uint32)]
+        self.weight = np.repeat(np.array(row["train"].as_py(), float), self.sizes)
+        #: Of the last level: hash and training count of each token's entry; count of the entry one level below.
+        self.hash, self.count, self.below = self.tokens, None, None
+        self.p = None
+
+    def entries(self, level: int) -> None:
+        """The distinct entries of a level in sending order, from the counts of the level before."""
+        r = self.rules
+        if level == 0:
+            self.at, e = np.arange(len(self.tokens)), self.tokens
+            context, occurs = np.zeros(len(e), np.uint64), np.ones(len(e), np.int64)
+            self.total, parent = np.ones(len(e), np.int64), np.ones(len(e), np.int64)
+            route, split = e, np.ones(len(e), bool)
+        else:
+            occurs = np.zeros(len(self.tokens), np.int64)
+            occurs[1:] = self.count[:-1]
+            occurs[self.starts] = 0
+            self.at = np.flatnonzero(occurs >= r.least)
+            occurs, context = occurs[self.at], self.hash[self.at - 1]
+            e = _mix(context, self.tokens[self.at])
+            self.total = self.below[self.at - 1] if level > 1 else np.full(len(e), r.n, np.int64)
+            parent = self.count[self.at]
+            slices = (occurs // r.split + 1).astype(np.uint64)
+            split = slices > 1
+            route = _mix(context, e % slices)
+        self.occurs = occurs
+        distinct, first, inverse = np.unique(e, return_index=True, return_inverse=True)
+        bucket = r.bucket(route[first])
+        order = np.lexsort((distinct, context[first], bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.inverse, first = place[inverse], first[order]
+        self.e, self.context, self.bucket, self.parent = distinct[order], context[first], bucket[order], parent[first]
+        new = np.ones(len(first), bool)
+        new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.group, self.heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.head_total, self.head_split = self.total[first[self.heads]], split[first[self.heads]]
+        self.token_entry = e
+
+    def sent(self, chunk: int):
         import pyarrow as pa
 
-        e = _Entries(tab, contexts)
-        train = np.repeat(np.array(tab.column("train").to_pylist(), float), e.sizes)
-        wn, pn, tn = e.counts(train)
-        edge = shared.bucket_edges(e.words, n_buckets)
-        pw, tw = e.pairs // e.base, e.triples // (e.base * e.base)
-        p_edge, t_edge = np.searchsorted(pw, edge), np.searchsorted(tw, edge)
-        full = np.flatnonzero(np.diff(edge))
-        cut = lambda x, ends, kind, less=0: pa.array([(x[ends[b] : ends[b + 1]] - (edge[b] if less else 0)).astype(kind).tobytes() for b in full], pa.binary())
+        k = np.bincount(self.inverse, weights=self.weight[self.at], minlength=len(self.e)).astype(np.uint64)
+        full, start = np.unique(self.bucket, return_index=True)
+        ends = np.append(start, len(self.e))
+        head_at = np.searchsorted(self.heads, ends)
+        sizes = np.diff(np.append(self.heads, len(self.e))).astype(np.uint32)
+        by = lambda x, at: pa.array([shared.planes(x[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+        cut, head = lambda x: by(x, ends), lambda x: by(x, head_at)
         return pa.table({
-            "bucket": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int32()),
-            "w": cut(e.words, edge, np.uint64), "wn": cut(wn, edge, np.uint32),
-            "pw": cut(pw, p_edge, np.uint32, 1), "p1": cut(e.pairs % e.base, p_edge, np.uint16), "pn": cut(pn, p_edge, np.uint32),
-            "tw": cut(tw, t_edge, np.uint32, 1), "t1": cut(e.triples // e.base % e.base, t_edge, np.uint16), "t2": cut(e.triples % e.base, t_edge, np.uint16), "tn": cut(tn, t_edge, np.uint32),
+            "bucket": pa.array(full.astype(np.int32)), "chunk": pa.array([chunk] * len(full), pa.int64()), "e": cut(self.e), "k": cut(k), "p": cut(self.parent.astype(np.uint64)),
+            "c": head(self.context[self.heads]), "cn": head(sizes), "ct": head(self.head_total.astype(np.uint64)), "cs": head(self.head_split.astype(np.uint8)),
         })
 
-    return emit
+    def receive(self, level: int, sums) -> None:
+        """Take the sums of a level's entries and states; tokens move on to the longer state where it is kept."""
+        r = self.rules
+        read = lambda name, kind: np.concatenate([shared.unplanes(x, kind) for x in sums.column(name).to_pylist()] or [np.empty(0, kind)])
+        counts = read("counts", np.uint64).astype(np.int64)[self.inverse]
+        if level == 0:
+            self.known = counts > 0
+            self.root = (counts + 0.1) / (r.n + 0.1 * (r.v + 1))
+            self.p, self.deep = self.root.copy(), np.zeros(len(counts), bool)
+            self.count = counts
+            return
+        d, kept = read("d", np.uint32).astype(np.int64), read("kept", np.uint8).astype(bool)
+        states, wide, wide_kept = r.states[level]
+        if len(states):
+            head = self.context[self.heads]
+            at = np.minimum(np.searchsorted(states, head), len(states) - 1)
+            here = self.head_split & (states[at] == head)
+            d, kept = np.where(here, wide[at], d), np.where(here, wide_kept[at], kept)
+        group = self.group[self.inverse]
+        on = kept[group]
+        at, d = self.at[on], d[group][on]
+        self.p[at] = (counts[on] + d * self.p[at]) / (self.occurs[on] + d)
+        self.deep[at] = True
+        self.below, self.count = self.count, np.zeros(len(self.tokens), np.int64)
+        self.count[self.at] = counts
+        self.hash = np.zeros(len(self.tokens), np.uint64)
+        self.hash[self.at] = self.token_entry
+
+    def replay(self, sums, upto: int) -> None:
+        """Levels below ``upto`` from their sums."""
+        import pyarrow.compute as pc
+
+        for level in range(upto):
+            self.entries(level)
+            self.receive(level, sums.filter(pc.equal(sums.column("level"), level)).sort_by("bucket"))
+
+
+def _first_sender(rules: Rules):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                c = Chunk(pa.Table.from_batches([b.slice(i, 1)]), rules)
+                c.entries(0)
+                yield from c.sent(b.column("chunk")[i].as_py()).to_batches()
 
+    return run
 
-def _read(tab, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in tab.column(name).to_pylist()]
 
+def _sender(rules: Rules, level: int):
+    def send(key, tab, sums):
+        c = Chunk(tab, rules)
+        c.replay(sums, level)
+        c.entries(level)
+        return c.sent(key[0].as_py())
 
-def _summed(keys: np.ndarray, counts: np.ndarray):
-    """Distinct keys, where each row is among them, and the sums."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, inverse, np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+    return send
 
 
-def _adder(base: int):
+def _adder(rules: Rules, level: int):
     def add(key, tab):
-        """Sum a bucket's entries over all chunks: sums for each chunk, and each context's part statistics."""
+        """Sum a bucket's entries over all chunks and test its contexts; the split ones leave their part statistics."""
         import pyarrow as pa
 
-        w = _read(tab, "w", np.uint64)
-        words, in_words, wc = _summed(np.concatenate(w), np.concatenate(_read(tab, "wn", np.uint32)))
-        first = np.cumsum([0, *map(len, w)])
-        place = lambda name: np.concatenate([in_words[first[i] + x] for i, x in enumerate(_read(tab, name, np.uint32))])
-        p1 = np.concatenate(_read(tab, "p1", np.uint16)).astype(np.int64)
-        pairs, in_pairs, pc = _summed(place("pw") * base + p1, np.concatenate(_read(tab, "pn", np.uint32)))
-        t1, t2 = (np.concatenate(_read(tab, x, np.uint16)).astype(np.int64) for x in ("t1", "t2"))
-        triples, in_triples, tc = _summed((place("tw") * base + t1) * base + t2, np.concatenate(_read(tab, "tn", np.uint32)))
-
-        def statistics(code, count, parent):
-            live = count > 0
-            code, count, parent = code[live], count[live], parent[live]
-            which, inverse = np.unique(code, return_inverse=True)
-            sums = lambda x: np.bincount(inverse, weights=x, minlength=len(which))
-            return which, sums(count), sums(np.ones(len(count))), sums(count * np.log(count)), sums(count * np.log(parent))
-
-        one = statistics(pairs % base, pc, wc[pairs // base])
-        parent = pc[np.searchsorted(pairs, triples // base)] if len(triples) else pc[:0]
-        two = statistics(triples % (base * base), tc, parent)
-        stats = [{"c1": int(c), "c2": 0, "n": int(n), "d": int(d), "a": a, "b": b} for c, n, d, a, b in zip(*one, strict=True)]
-        stats += [{"c1": int(c) // base, "c2": int(c) % base, "n": int(n), "d": int(d), "a": a, "b": b} for c, n, d, a, b in zip(*two, strict=True)]
-        chunks, n = tab.column("chunk").to_pylist(), tab.num_rows
-
-        def reply(sums, inverse, name, width):
-            ends = np.cumsum([len(x) // width for x in tab.column(name).to_pylist()])[:-1]
-            return pa.array([*(x.tobytes() for x in np.split(sums[inverse], ends)), None], pa.binary())
-
-        kind = pa.list_(pa.struct([("c1", pa.int32()), ("c2", pa.int32()), ("n", pa.int64()), ("d", pa.int64()), ("a", pa.float64()), ("b", pa.float64())]))
+        read = lambda name, kind: [shared.unplanes(x, kind) for x in tab.column(name).to_pylist()]
+        parts, heads = read("e", np.uint64), read("c", np.uint64)
+        context = np.repeat(np.concatenate(heads), np.concatenate(read("cn", np.uint32)))
+        distinct, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(read("k", np.uint64)), minlength=len(distinct)).astype(np.int64)
+        live = total > 0
+        t = total[live].astype(float)
+        states, place, of = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
+        group = np.searchsorted(states, context[first][live])
+        sums = lambda w: np.bincount(group, weights=w, minlength=len(states))
+        n, d, a = sums(t).astype(np.int64), sums(np.ones(len(t))).astype(np.int64), sums(t * np.log(t / np.concatenate(read("p", np.uint64))[first][live]))
+        above, split = (np.concatenate(read(name, kind))[place] for name, kind in (("ct", np.uint64), ("cs", np.uint8)))
+        kept = rules.keeps(n, d, a, above.astype(float)) & (split == 0)
+        kind = pa.list_(pa.struct([("c", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("a", pa.float64()), ("t", pa.int64())]))
+        stats = [{"c": int(states[i].astype(np.int64)), "n": int(n[i]), "d": int(d[i]), "a": float(a[i]), "t": int(above[i])} for i in np.flatnonzero(split)]
+        rows = tab.num_rows
+
+        def reply(x, inverse, sizes):
+            return pa.array([*(shared.planes(y) for y in np.split(x[inverse], np.cumsum(sizes)[:-1])), None], pa.binary())
+
+        sizes, head_sizes = [len(x) for x in parts], [len(x) for x in heads]
         return pa.table({
-            "chunk": pa.array([*chunks, -1], pa.int32()), "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
-            "w": reply(wc, in_words, "w", 8), "p": reply(pc, in_pairs, "pw", 4), "t": reply(tc, in_triples, "tw", 4),
-            "stats": pa.array([*([None] * n), stats], kind),
+            "level": pa.array([level] * (rows + 1), pa.int32()), "chunk": pa.array([*tab.column("chunk").to_pylist(), -1], pa.int64()), "bucket": pa.array([key[0].as_py()] * (rows + 1), pa.int32()),
+            "counts": reply(total.astype(np.uint64), inverse, sizes), "d": reply(d.astype(np.uint32), of, head_sizes), "kept": reply(kept.astype(np.uint8), of, head_sizes),
+            "stats": pa.array([*([None] * rows), stats], kind),
         })
 
     return add
 
 
-class Tree:
-    """Kept states: for each context length sorted codes with their counts and distinct followers."""
-
-    def __init__(self, rows: list[tuple], base: int, n: int, v: int, epsilon: float):
-        self.base, self.n, self.v = base, n, v
-        ones = {r[0]: r for r in rows if not r[1]}
-
-        def gain(r, log_total):  # r: c1, c2, n, d, a, b
-            return (r[4] - r[2] * math.log(r[2]) - r[5] + r[2] * log_total - r[3] / 2) / r[2]
-
-        two = [r for r in rows if r[1] and r[0] in ones and gain(r, math.log(ones[r[0]][2])) >= epsilon]
-        kept = {r[0] for r in two} | {c for c, r in ones.items() if gain(r, math.log(n)) >= epsilon}
-        self.one = self._sorted([(c, ones[c][2], ones[c][3]) for c in kept])
-        self.two = self._sorted([(r[0] * base + r[1], r[2], r[3]) for r in two])
-
-    @staticmethod
-    def _sorted(rows):
-        rows.sort()
-        return tuple(np.array([r[i] for r in rows], np.int64) for i in range(3))
-
-    @staticmethod
-    def _find(state, code):
-        codes, n, d = state
-        if not len(codes):
-            return np.zeros(len(code), bool), code, code
-        at = np.searchsorted(codes, code)
-        at[at == len(codes)] = 0
-        return (codes[at] == code) & (code > 0), n[at], d[at]
-
-    def probabilities(self, e: _Entries, wc, pc, tc):
-        """Of every token: the root's, the tree's, and whether a context was used."""
-        root = (wc[e.in_words] + 0.1) / (self.n + 0.1 * (self.v + 1))
-        p, deep = root.copy(), np.zeros(len(root), bool)
-        hit, n, d = self._find(self.one, e.c1[e.at_pair])
-        at = e.at_pair[hit]
-        p[at] = (pc[e.in_pairs[hit]] + d[hit] * p[at]) / (n[hit] + d[hit])
-        deep[at] = True
-        hit, n, d = self._find(self.two, e.c1[e.at_triple] * self.base + e.c2[e.at_triple])
-        at = e.at_triple[hit]
-        p[at] = (tc[e.in_triples[hit]] + d[hit] * p[at]) / (n[hit] + d[hit])
-        return root, p, deep
-
-
-def _scorer(contexts: np.ndarray, tree: Tree):
+def _scorer(rules: Rules):
     def score(key, tab, sums):
         import pyarrow as pa
 
-        e = _Entries(tab, contexts)
-        sums = sums.sort_by("bucket")
-        wc, pc, tc = (np.concatenate([np.frombuffer(x, np.int64) for x in sums.column(c).to_pylist()] or [np.empty(0, np.int64)]) for c in "wpt")
-        root, p, deep = tree.probabilities(e, wc, pc, tc)
-        known = (wc > 0)[e.in_words]
-        by_doc = lambda x: np.add.reduceat(x, e.starts) if len(e.starts) else x
-        held = [not t for t in tab.column("train").to_pylist()]
+        c = Chunk(tab, rules)
+        c.replay(sums, rules.depth + 1)
+        by_doc = lambda x: np.add.reduceat(x, c.starts)
+        ids, train = c.doc_ids.values, c.train.values
         return pa.table({
-            "doc_id": tab.column("doc_id"), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(e.sizes, pa.int64()),
-            "n_known": pa.array(by_doc(known.astype(np.int64)), pa.int64()), "base_score": pa.array(by_doc(np.log10(root)), pa.float64()),
-            "score": pa.array(by_doc(np.log10(p)), pa.float64()), "deep_tokens": pa.array(by_doc(deep.astype(np.int64)), pa.int64()),
+            "doc_id": ids, "held_out": pa.array([not x for x in train.to_pylist()], pa.bool_()), "n_tokens": pa.array(c.sizes, pa.int64()),
+            "n_known": pa.array(by_doc(c.known.astype(np.int64)), pa.int64()), "base_score": pa.array(by_doc(np.log10(c.root)), pa.float64()),
+            "score": pa.array(by_doc(np.log10(c.p)), pa.float64()), "deep_tokens": pa.array(by_doc(c.deep.astype(np.int64)), pa.int64()),
         })
 
     return score
 
 
-def score(docs: DataFrame, folds: int = FOLDS, p_min: float = P_MIN, epsilon: float = EPSILON) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, least: int = MIN_COUNT, epsilon: float = EPSILON, depth: int = DEPTH, chunk_bytes: int = shared.CHUNK_BYTES, split: int = SPLIT) -> DataFrame:
     """docs(doc_id, text) to a row each with counts, root score and tree score (log10), and train_tokens."""
     spark = docs.sparkSession
-    if p_min < 1 / 65_000:
-        raise ValueError("p_min: contexts are numbered in 16 bits")
     rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (rest != 0).alias("train"))
-    _, size = shared.text_profile(docs)
-    n_chunks = shared.chunk_count(spark, size)
-    counted = docs.where("train").select("text").mapInArrow(_word_counts(n_chunks), _WORDS)
-    totals = shared.written(counted.groupBy("bucket").applyInArrow(_total, _TOTALS), "lm-words")
-    n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    least = max(MIN_COUNT, math.ceil(p_min * n))
-    often = totals.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where(F.col("x.counts") >= least).select("x.words")
-    contexts = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))  # at most 1 / p_min words
-    contexts = contexts[contexts != END]
-    base = len(contexts) + 1
-    chunked = shared.hashed_chunks(docs, n_chunks)
-    sent = chunked.groupBy("chunk").applyInArrow(_emitter(contexts, n_chunks), _ENTRIES)
-    sums = shared.written(sent.groupBy("bucket").applyInArrow(_adder(base), _SUMS), "lm-sums")
-    states = sums.where("chunk = -1").select(F.explode("stats").alias("s")).groupBy("s.c1", "s.c2").agg(*(F.sum(f"s.{c}").alias(c) for c in "ndab"))
-    rows = [tuple(r) for r in states.where(F.col("n") >= least).collect()]  # at most 1 / p_min of each length
-    tree = Tree(rows, base, n, v, epsilon)
-    replies = sums.where("chunk >= 0").select("chunk", "bucket", "w", "p", "t")
-    out = chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scorer(contexts, tree), _OUT)
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+    state = shared.written(docs.mapInArrow(_pack(chunk_bytes), _STATE), "lm-chunks")
+    size = state.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = shared.chunk_count(spark, size, chunk_bytes)
+    rules, replies = Rules(parts, least, epsilon, depth, split), []
+
+    def answered():
+        every = reduce(DataFrame.unionByName, replies).where("chunk >= 0").drop("stats")
+        return state.repartition(parts, "chunk").groupBy("chunk").cogroup(every.repartition(parts, "chunk").groupBy("chunk"))
+
+    for level in range(depth + 1):
+        sent = answered().applyInArrow(_sender(rules, level), _SENT) if level else state.mapInArrow(_first_sender(rules), _SENT)
+        replies.append(shared.written(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_adder(rules, level), _SUMS), f"lm-level{level}"))
+        part = replies[-1].where("chunk = -1").select(F.explode("stats").alias("s"))
+        stats = part.groupBy("s.c").agg(F.sum("s.n").alias("n"), F.sum("s.d").alias("d"), F.sum("s.a").alias("a"), F.max("s.t").alias("t"))
+        rules.learn(stats.collect())  # the root, then at most 1 / SPLIT_SHARE split contexts of a level
+    out = answered().applyInArrow(_scorer(rules), _OUT)
+    return out.withColumn("train_tokens", F.lit(rules.n).cast("long"))
 
 
 def op1_query(spark, sf_dir) -> DataFrame:
     return score(shared.table(spark, sf_dir, "documents"))
 
 
-def brute_force(rows: list[tuple], folds: int = FOLDS, p_min: float = P_MIN, epsilon: float = EPSILON) -> dict:
+def brute_force(rows: list[tuple], folds: int = FOLDS, least: int = MIN_COUNT, epsilon: float = EPSILON, depth: int = DEPTH) -> dict:
     """For tests: rows (doc_id, text) to doc_id -> (n_tokens, n_known, N, base, score), by plain counting."""
     import zlib
     from collections import Counter, defaultdict
 
     toks = [(i, [*(w.decode() for w in (t or "").encode().lower().split()), "\n"], zlib.crc32(("" if i is None else str(i)).encode()) % folds != 0) for i, t in rows]
-    c = Counter(w for _, ws, train in toks if train for w in ws)
-    n, v = sum(c.values()), len(c)
-    least = max(MIN_COUNT, math.ceil(p_min * n))
-    often = {w for w, k in c.items() if k >= least and w != "\n"}
     follow = defaultdict(Counter)
     for _, ws, train in toks:
         for i, w in enumerate(ws):
-            if train and i and ws[i - 1] in often:
-                follow[ws[i - 1],][w] += 1
-                if i > 1 and ws[i - 2] in often:
-                    follow[ws[i - 2], ws[i - 1]][w] += 1
+            for j in range(min(i, depth) + 1 if train else 0):
+                follow[tuple(ws[i - j : i])][w] += 1
     size = {s: sum(f.values()) for s, f in follow.items()}
+    c, n = follow[()], size.get((), 0)
 
     def diverges(s):
-        f, total = follow[s], size[s]
-        if total < least:
-            return False
-        parent = c if len(s) == 1 else follow[s[1:]]
-        of = n if len(s) == 1 else size[s[1:]]
-        return (sum(k * math.log((k / total) / (parent[w] / of)) for w, k in f.items()) - len(f) / 2) / total >= epsilon
-
-    kept = {s for s in follow if diverges(s) and (len(s) == 1 or size[s[1:]] >= least)}
-    kept |= {s[1:] for s in kept if len(s) == 2}
+        f, parent, of = follow[s], follow[s[1:]], size[s[1:]]
+        return (sum(k * math.log((k / size[s]) / (parent[w] / of)) for w, k in f.items()) - len(f) / 2) / size[s] >= epsilon
+
+    kept = {s for s in size if s and size[s] >= least and diverges(s)}
     out = {}
     for doc_id, ws, _ in toks:
         base = total = 0.0
         for i, w in enumerate(ws):
-            p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+            p = (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
             base += math.log10(p)
-            for s in (tuple(ws[i - 1 : i]), tuple(ws[i - 2 : i]) if i > 1 else ()):
-                if s in kept:
+            for j in range(1, min(i, depth) + 1):
+                if (s := tuple(ws[i - j : i])) in kept:
                     p = (follow[s][w] + len(follow[s]) * p) / (size[s] + len(follow[s]))
             total += math.log10(p)
         out[doc_id] = (len(ws), sum(c[w] > 0 for w in ws), n, base, total)

@@ -106,3 +106,13 @@ def text_bytes(column) -> list[bytes]:
     import pyarrow.compute as pc
 
     return pc.fill_null(column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()), b"").to_pylist()
+
+
+def planes(a: np.ndarray) -> bytes:
+    """An array as byte planes, high bytes of small numbers together, so that the shuffle's own codec packs them."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()

@@ -74,21 +74,23 @@ def test_chunks_follow_ids(spark):
             assert apart.setdefault(r.doc_id, r.chunk) == r.chunk
 
 
-def test_language_model(docs, empty):
+@pytest.mark.parametrize("least, epsilon, split, chunk", [(8, 0.02, 10**6, 8 << 20), (3, -10.0, 10**6, 2000), (5, 0.02, 40, 2000), (3, 0.0, 7, 500)])
+def test_language_model(docs, empty, least, epsilon, split, chunk):
+    """Small chunks and splits make words meet over many buckets; states of up to three words are used."""
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = defaultdict(list)
-    for epsilon in (0.02, -10.0):
-        got = lm_scoring.score(docs, p_min=0.004, epsilon=epsilon).collect()
-        assert len(got) == len(rows)
-        want = lm_scoring.brute_force([(i, t) for i, t in rows], p_min=0.004, epsilon=epsilon)
-        unique = {i for i, _ in rows if [x for x, _ in rows].count(i) == 1}
-        for r in got:
-            if r.doc_id in unique:
-                n, known, total, base, score = want[r.doc_id]
-                assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-                assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+    got = lm_scoring.score(docs, least=least, epsilon=epsilon, split=split, chunk_bytes=chunk).collect()
+    assert len(got) == len(rows)
+    want = lm_scoring.brute_force(rows, least=least, epsilon=epsilon)
+    flat = lm_scoring.brute_force(rows, least=least, epsilon=epsilon, depth=1)
+    unique = {i for i, _ in rows if [x for x, _ in rows].count(i) == 1}
+    for r in got:
+        if r.doc_id in unique:
+            n, known, total, base, score = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+            assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
     assert any(r.deep_tokens for r in got)
-    assert lm_scoring.score(empty).count() == 0
+    assert any(want[i][4] != pytest.approx(flat[i][4]) for i in unique)
+    assert lm_scoring.score(empty, least=least, split=split).count() == 0
 
 
 def test_language_model_without_training_rows(spark):
