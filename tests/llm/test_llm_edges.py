@@ -347,28 +347,61 @@ def test_disguises_alone_and_beside_others(text, kind, hidden):
 
 def test_decontamination(spark, docs, empty):
     item = "Alice bought 12 apples at the market and gave Bob 5 of them; how many apples does Alice have left after 3 days?"
-    items = [(1, item), (2, "one two"), (3, None), (4, "the quick brown fox jumps over the lazy dog near the old river bank today")]
+    items = [(1, item), (2, "one two"), (3, None), (4, "the quick brown fox jumps over the lazy dog near the old river bank today"), (5, "capital of France?"), (6, "What is 12 + 45 + 8 + 33"), (7, " ... "), (8, item)]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    changed = item.replace("Alice", "Maria Luisa").replace("12", "30").replace("Bob", "Juan")
     rows = [
-        (1, "intro " + item + " outro", "s"), (2, item.upper(), "s"), (3, item.replace("Alice", "Maria").replace("12", "30").replace("Bob", "Juan"), "s"),
-        (4, "Alice bought 12 apples yesterday and 5 pears, then left after 3 days", "s"), (5, None, "s"), (6, "", "s"), (None, item, "s"), (7, "one two", "s"),
-        (8, "The QUICK brown fox, jumps over the lazy dog near the old river bank today!", "s"), (8, "clean", "s"),
+        (1, "intro " + item + " outro", "s"), (2, item.upper(), "s"), (3, changed, "s"),
+        (4, "Alice bought 12 apples yesterday and 5 pears, then left after 3 days", "s"), (5, None, "s"), (6, "", "s"), (None, item, "s"), (7, "so one, two", "s"),
+        (8, "The QUICK brown fox, jumps over the lazy dog near the old river bank today!", "s"), (8, "clean", "s"), (9, "The Capital of France is Paris", "s"), (9, "The Capital of France is Paris", "s"),
+        (10, "What is 7 + 8 + 9 + 10", "s"), (11, "What is 7 times 8", "s"), (12, "no " * 5000 + changed + " no" * 5000 + " " + item.replace("Alice", "Eva"), "s"),
     ]
-    found = decontaminate.find(frame(spark, rows), bench)
-    assert sorted((str(r.doc_id), r.item_id) for r in found.collect()) == [("1", 1), ("2", 1), ("3", 1), ("8", 4), ("None", 1)]
+    found = sorted((str(r.doc_id), r.item_id) for r in decontaminate.find(frame(spark, rows), bench).collect())
+    both = [(i, n) for i in ("1", "12", "2", "3", "None") for n in (1, 8)]
+    assert found == sorted([*both, ("7", 2), ("8", 4), ("9", 5), ("9", 5), ("10", 6)])
     clean = decontaminate.filter_clean(frame(spark, rows), bench)
     assert clean.columns == frame(spark, rows).columns
-    assert sorted(str(r.doc_id) for r in clean.collect()) == ["4", "5", "6", "7", "8"]
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["11", "4", "5", "6", "8"]
     assert decontaminate.find(empty, bench).count() == 0
-    assert decontaminate.find(docs, bench.limit(0)).count() == 0
-    assert [len(s) for s in decontaminate.slices(bench, chars=50)] == [1, 3]
+    assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.filter_clean(docs, bench.limit(0)).count() == docs.count()
 
 
 def test_inconsistent_slots_count_against_an_item():
-    index = decontaminate.Index([(1, "Alice and Bob met Alice near Paris then Alice paid 10 and Alice left")])
-    same = index.find(b"Maria and Juan met Maria near Rome then Maria paid 99 and Maria left")
-    mixed = index.find(b"Maria and Juan met Karl near Rome then Otto paid 99 and Ines left")
-    assert same == [(1, 1.0, False)] and mixed == []
+    item = "Alice and Bob met Alice near Paris then Alice paid 10 and Alice left"
+    assert decontaminate.brute_force("Maria and Juan met Maria near Rome then Maria paid 99 and Maria left", item) == 1.0
+    assert decontaminate.brute_force("Maria and Juan met Karl near Rome then Otto paid 99 and Ines left", item) < decontaminate.COVER
+
+
+def reparameterised(rng, n_items=40):
+    """Question templates with slots, and for each item documents that hold it with other fillers, or nearly."""
+    names, nouns = "Alice Bob Carla Deniz Emil Farah Goran Hanna Ines Jonas".split(), "apples coins books stones tickets marbles seeds tiles cards shells".split()
+    verbs = "buys sells finds loses hides paints counts moves keeps throws".split()
+    plain = lambda k: " ".join(rng.choice("alpha beta gamma delta omega river stone cloud under over while meadow".split()) for _ in range(k))
+    items, docs = [], []
+    for i in range(n_items):
+        a, b = rng.sample(nouns, 2)
+        v, w = rng.sample(verbs, 2)
+        mark = plain(rng.randint(2, 6))
+        make = lambda p, q, x, y: f"{p} {v} {x} {a} near the {mark} and {q} {w} {y} {b}, so how many {a} does {p} have when {q} gives {p} half of the {b}?"  # noqa: B023, E731
+        fill = lambda: (*rng.sample(names, 2), rng.randint(2, 99), rng.randint(100, 999))
+        items.append((i, make(*fill())))
+        for _ in range(3):
+            docs.append((len(docs), plain(rng.randint(0, 300)) + " " + make(*fill()) + " " + plain(rng.randint(0, 50)), i))
+        p, q, x, y = fill()
+        third = rng.choice([z for z in names if z not in (p, q)])
+        docs.append((len(docs), make(p, q, x, y).replace(f"does {p} have", f"does {third} have").replace(f"gives {p} half", f"gives {rng.choice(names)} half"), None))
+        docs.append((len(docs), plain(200) + f" {v} {a} near the {mark}", None))
+    return items, docs
+
+
+def test_reparameterised_questions_against_brute_force(spark):
+    items, docs = reparameterised(random.Random(21))
+    bench = spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.find(frame(spark, [(i, t, "s") for i, t, _ in docs]), bench).collect()}
+    want = {(d, i): c for d, t, _ in docs for i, x in items if (c := decontaminate.brute_force(t, x)) >= decontaminate.COVER}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    planted = [(d, i) for d, _, i in docs if i is not None]
+    assert sum(p in got for p in planted) >= 0.9 * len(planted)
 
 
 def test_quality(spark, docs, empty):
