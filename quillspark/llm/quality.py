@@ -1,18 +1,24 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives are labelled rows of quality 1; the same labelled rows without their labels stand for
-unlabelled web text; the class prior is the share of positives among them. A small network over text
-statistics minimises prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)) with the logistic loss; where the
-bracket turns negative, its gradient is reversed. Fitting takes at most ``max_rows`` labelled rows (those
-of smallest digest); scoring covers every whole text.
-
-Defined cases: null text is empty and is scored as such; rows of null label are not learnt from; without
-any positive row the score is the prior; null doc_id counts as empty text in the fold; repeated rows get
-equal scores; other columns are kept by keep_good() and never used.
+Trusted positives are the texts whose label is 1; label 0 is never read. Unlabelled web text is a sample of
+the documents themselves. The class prior is estimated, by the best bin: a discriminator of positives and
+unlabelled texts is fitted on one half and scores the other, and the prior is the share of unlabelled texts
+over the share of positives above the threshold where the upper confidence bound of that ratio is least.
+A small network over text statistics then minimises prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)) with the
+logistic loss; where the bracket turns negative, its gradient is reversed.
+
+Both samples hold at most ``max_rows`` rows outside the held-out fold, those of smallest digest; scoring
+covers every whole text.
+
+Defined cases: null text is empty and is scored as such; an id that is labelled twice counts once; rows of
+null label or id are not learnt from; without positives or without unlabelled rows the score is 0.5; null
+doc_id counts as empty text in the fold; repeated rows get equal scores; other columns are kept by keep_good()
+and never used.
 """
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 
 import numpy as np
@@ -21,9 +27,10 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import shared
 
-MAX_ROWS = 20_000
+#: Rows of each of the two samples that are learnt from.
+MAX_ROWS = 10_000
 FOLDS, THRESHOLD = 5, 0.3
-MARKS = b"!%&*$#|.,;:?-_/\\@\"'()"
+MARKS = string.punctuation.encode()
 _OUT = "doc_id long, held_out boolean, score double"
 
 
@@ -72,55 +79,114 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.logits(self.standard(x))[0], -30, 30)))
+        return _sigmoid(self.logits(self.standard(x))[0])
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, rate: float = 0.02, decay: float = 1e-3) -> None:
+    def gradients(self, z: np.ndarray, g: np.ndarray, h: np.ndarray, decay: float) -> list[np.ndarray]:
+        """Of the weights, from the gradient g of the logits; decay shrinks what multiplies inputs."""
+        back = np.outer(g, self.w[2]) * (1 - h * h)
+        return [z.T @ back + decay * self.w[0], back.sum(0), h.T @ g + decay * self.w[2], np.array([g.sum()]), z.T @ g + decay * self.w[4]]
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, gradient, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> None:
+        """Descend by ``gradient``, a function of the logits, the number of positives before them and the prior."""
         self.mean, self.scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
-        p, u = self.standard(positive), self.standard(unlabelled)
-        z = np.concatenate([p, u])
-        moment, square, n_p, n_u = [0.0] * 5, [0.0] * 5, len(p), len(u)
+        z = self.standard(np.concatenate([positive, unlabelled]))
+        moment, square = [0.0] * 5, [0.0] * 5
         for t in range(1, steps + 1):
             f, h = self.logits(z)
-            s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            risk_minus = np.logaddexp(0, f[n_p:]).mean() - self.prior * np.logaddexp(0, f[:n_p]).mean()
-            g = np.zeros(len(f))
-            if risk_minus >= 0:
-                g[:n_p] = self.prior * ((s[:n_p] - 1) - s[:n_p]) / n_p
-                g[n_p:] = s[n_p:] / n_u
-            else:
-                g[:n_p] = self.prior * s[:n_p] / n_p
-                g[n_p:] = -s[n_p:] / n_u
-            back = np.outer(g, self.w[2]) * (1 - h * h)
-            grads = [z.T @ back + decay * self.w[0], back.sum(0), h.T @ g + decay * self.w[2], np.array([g.sum()]), z.T @ g + decay * self.w[4]]
-            for i, d in enumerate(grads):
+            for i, d in enumerate(self.gradients(z, gradient(f, len(positive), self.prior), h, decay)):
                 moment[i] = 0.9 * moment[i] + 0.1 * d
                 square[i] = 0.999 * square[i] + 0.001 * d * d
                 self.w[i] = self.w[i] - rate * (moment[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.999**t)) + 1e-8)
         self.fitted = True
 
 
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def risk_parts(f: np.ndarray, n_p: int, prior: float) -> tuple[float, float]:
+    """prior*R_p(+) and the bracket R_u(-) - prior*R_p(-) with the logistic loss; f has the positives first."""
+    return prior * np.logaddexp(0, -f[:n_p]).mean(), np.logaddexp(0, f[n_p:]).mean() - prior * np.logaddexp(0, f[:n_p]).mean()
+
+
+def nonnegative_gradient(f: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """Of the unbiased risk by the logits; of the bracket alone, reversed, where that is negative."""
+    s, g = _sigmoid(f), np.empty(len(f))
+    if risk_parts(f, n_p, prior)[1] >= 0:
+        g[:n_p] = -prior / n_p
+        g[n_p:] = s[n_p:] / (len(f) - n_p)
+    else:
+        g[:n_p] = prior * s[:n_p] / n_p
+        g[n_p:] = -s[n_p:] / (len(f) - n_p)
+    return g
+
+
+def discriminating_gradient(f: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """Of the balanced logistic loss that tells positives from unlabelled texts."""
+    s, g = _sigmoid(f), np.empty(len(f))
+    g[:n_p] = (s[:n_p] - 1) / n_p
+    g[n_p:] = s[n_p:] / (len(f) - n_p)
+    return g
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among unlabelled texts from the scores of a discriminator."""
+    cuts = np.unique(positive)
+    share = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
+    q_p, q_u = share(positive), share(unlabelled)
+    slack = (1 + gamma) * sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (positive, unlabelled))
+    at = np.argmin((q_u + slack) / q_p)
+    return float(np.clip(q_u[at] / q_p[at], 0.02, 0.98))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Class prior of the unlabelled texts: each half is scored by a discriminator fitted on the other."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    scores = [np.empty(len(positive)), np.empty(len(unlabelled))]
+    for odd in (0, 1):
+        model = Model(0.5, positive.shape[1])
+        model.fit(positive[odd::2], unlabelled[odd::2], discriminating_gradient, steps=150)
+        for out, x in zip(scores, (positive, unlabelled), strict=True):
+            out[1 - odd :: 2] = model.logits(model.standard(x[1 - odd :: 2]))[0]
+    return best_bin(*scores)
+
+
 def _measure(batches):
     import pyarrow as pa
 
     for b in batches:
         made = [statistics(t) for t in shared.text_bytes(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(made, pa.list_(pa.float64()))], names=["digest", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from at most max_rows labelled rows outside fold 0."""
-    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    seen = seen.where(fold(F.col("doc_id"), folds) != 0).where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    taken = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+def _sample(texts: DataFrame, max_rows: int) -> np.ndarray:
+    """Statistics of the max_rows texts of smallest digest, in its order; Spark keeps that many rows a task."""
+    rows = texts.select("digest", "text").mapInArrow(_measure, "digest long, x array<double>").orderBy("digest", "x").limit(max_rows).collect()
+    return np.array([r.x for r in rows]) if rows else np.empty((0, len(statistics(b""))))
+
+
+def samples(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of trusted positives and of unlabelled documents, outside fold 0, at most max_rows each."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id")  # at most max_rows rows of 12 bytes
-    got = sorted(rows.mapInArrow(_measure, "doc_id long, quality int, x array<double>").collect(), key=lambda r: (r.doc_id, r.quality, r.x))
-    x = np.array([r.x for r in got]) if got else np.empty((0, len(statistics(b""))))
-    y = np.array([r.quality for r in got], int)
-    prior = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
-    model = Model(prior, x.shape[1])
-    if (y == 1).any():
-        model.fit(x[y == 1], x)
+    texts = texts.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).withColumn("digest", F.xxhash64("doc_id", "text"))
+    seen = labels.where(F.col("quality").cast("int") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    taken = seen.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    positive = texts.join(F.broadcast(taken), "doc_id")  # at most max_rows ids
+    # one pass over whole tables measures little more than max_rows texts: a digest below a share of its range
+    share = min(1.0, 1.5 * max_rows / max(1, docs.count()))
+    unlabelled = texts.where(F.pmod("digest", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return _sample(positive, max_rows), _sample(unlabelled.withColumn("digest", F.pmod("digest", F.lit(1 << 40))), max_rows)
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS) -> Model:
+    """Learn from trusted positives and unlabelled documents."""
+    positive, unlabelled = samples(docs, labels, folds, max_rows)
+    model = Model(estimate_prior(positive, unlabelled), unlabelled.shape[1])
+    if len(positive) and len(unlabelled):
+        model.fit(positive, unlabelled, nonnegative_gradient)
+    else:
+        model.prior = 0.5
     return model
 
 

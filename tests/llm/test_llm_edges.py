@@ -408,21 +408,68 @@ def test_quality(spark, docs, empty):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice("tree house river cloud stone light wind over under the a of".split()) for _ in range(60)).capitalize() + "."
     junk = lambda: " ".join(rng.choice(("BUY", "NOW")) + rng.choice(("!!", "$$$", "***")) for _ in range(60))
-    rows = [(i, good() if i % 4 else junk(), "s") for i in range(300)]
-    labels = spark.createDataFrame([(i, int(bool(i % 4)), 0, "z") for i in range(300)] + [(None, 1, 0, "z"), (5000, None, 0, "z")], "doc_id long, quality int, toxic int, text string")
+    rows = [(i, good() if i % 4 else junk(), "s") for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(bool(i % 4)), 0, "z") for i in range(600)] + [(None, 1, 0, "z"), (5000, None, 0, "z"), (1, 1, 0, "z")], "doc_id long, quality int, toxic int, text string")
     d = frame(spark, rows)
     model = quality.fit(d, labels)
-    again = quality.fit(d.repartition(7), labels.repartition(3))
-    assert all((a == b).all() for a, b in zip(model.w, again.w, strict=True))
+    again = quality.fit(d.repartition(7), labels.where("quality = 1").repartition(3))
+    assert all((a == b).all() for a, b in zip(model.w, again.w, strict=True)), "label 0, repeated labels and order must not matter"
     held = [r for r in quality.score(d, model).collect() if r.held_out]
-    assert held and all((r.score >= quality.THRESHOLD) == bool(r.doc_id % 4) for r in held)
+    assert min(r.score for r in held if r.doc_id % 4) > max(r.score for r in held if r.doc_id % 4 == 0)
+    assert all(r.score >= quality.THRESHOLD for r in held if r.doc_id % 4)
     kept = quality.keep_good(d, model)
-    assert kept.columns == d.columns and all(r.doc_id % 4 for r in kept.collect())
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} >= {i for i in range(1200) if i % 4}
     every = quality.score(docs, model).collect()
     assert len(every) == docs.count() and all(0 <= r.score <= 1 for r in every)
-    assert quality.score(empty, model).count() == 0
-    none = quality.fit(d, labels.limit(0))
-    assert {r.score for r in quality.score(d, none).collect()} == {0.5}
+    assert quality.score(empty, model).count() == 0 and quality.keep_good(empty, model).count() == 0
+    for none in (quality.fit(d, labels.limit(0)), quality.fit(empty, labels), quality.fit(d, labels.where("quality = 0"))):
+        assert {r.score for r in quality.score(d, none).collect()} == {0.5}
+
+
+def test_quality_risk_and_gradient():
+    """Against finite differences, in both branches of the non-negative risk."""
+    rng = np.random.default_rng(4)
+    for prior, low in ((0.3, False), (0.9, True)):
+        f = rng.normal(0, 1, 30)
+        if low:
+            f[:10] += 4.0
+            f[10:] -= 4.0
+        plus, bracket = quality.risk_parts(f, 10, prior)
+        assert plus == pytest.approx(prior * sum(np.log1p(np.exp(-x)) for x in f[:10]) / 10)
+        assert bracket == pytest.approx(sum(np.log1p(np.exp(x)) for x in f[10:]) / 20 - prior * sum(np.log1p(np.exp(x)) for x in f[:10]) / 10)
+        assert (bracket < 0) == low
+        risk = (lambda x: -quality.risk_parts(x, 10, prior)[1]) if low else (lambda x: sum(quality.risk_parts(x, 10, prior)))  # noqa: B023
+        step = 1e-5 * np.eye(30)
+        want = [(risk(f + e) - risk(f - e)) / 2e-5 for e in step]
+        assert quality.nonnegative_gradient(f, 10, prior) == pytest.approx(want, abs=1e-7)
+    z, model = rng.normal(0, 1, (12, 5)), quality.Model(0.4, 5)
+    f, h = model.logits(z)
+    made = model.gradients(z, quality.nonnegative_gradient(f, 4, 0.4), h, 0.0)
+    for i, w in enumerate(model.w):
+        for at in np.ndindex(w.shape):
+            old = w[at]
+            ends = []
+            for e in (1e-5, -1e-5):
+                w[at] = old + e
+                ends.append(sum(quality.risk_parts(model.logits(z)[0], 4, 0.4)))
+            w[at] = old
+            assert made[i][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_quality_prior(prior):
+    rng = np.random.default_rng(5)
+    x = lambda n, share: np.where(rng.random((n, 1)) < share, rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (n, 4)))
+    assert quality.estimate_prior(x(4000, 1.0), x(4000, prior)) == pytest.approx(prior, abs=0.06)
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = shared.table(spark, sf, "documents"), shared.table(spark, sf, "labels")
+    got = quality.score(docs, quality.fit(docs, labels)).where("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = [r.score for r in got if r.quality == 1], [r.score for r in got if r.quality == 0]
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) >= 0.95
+    assert sum(g >= quality.THRESHOLD for g in good) >= 0.98 * len(good)
 
 
 PAGES = [
