@@ -8,7 +8,7 @@ rule, so their number is fixed. Text belongs to the element that directly holds
 
 The text: character references decoded, white space inside a block to one space, blocks in page order
 joined by one newline. Scripts, styles, forms, embedded objects and the head never hold text; ``br`` ends a
-block.
+line of its block and closes no element; a slash closes a tag only within svg and math.
 
 Defined cases: null, empty or markup-only html gives the empty text; unclosed and crossed tags close where
 HTML implies it; an unclosed comment, script or style reaches to the end; plain text without any element is
@@ -21,6 +21,7 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
@@ -33,15 +34,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER = frozenset("head script style textarea title noscript template iframe object svg math canvas audio video form button select option input label fieldset dialog datalist nav footer aside menu xmp noembed noframes".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul br".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Start tags that close an open element of the second set, up to one of the third.
+#: Elements whose tags a slash may close.
+FOREIGN = ("svg", "math")
+#: Start tags that close open elements of the second set, up to one of the third.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPEN = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _OUT = "page_id long, url string, text string, n_nodes int"
@@ -62,6 +66,8 @@ class Page:
     def _parse(self, source: str) -> None:
         stack, at, n, pieces = [0], 0, len(source), self.pieces  # pieces: (node, text) or (node, None) for a break
         places = defaultdict(list)  # tag to the places in the stack where it is open
+        self.blocks = []  # the places where a block is open
+        last = source.rfind(">")
         while at < n:
             lt = source.find("<", at)
             if lt < 0:
@@ -78,9 +84,9 @@ class Page:
                 end = source.find(">", lt)
                 at = n if end < 0 else end + 1
                 continue
-            m = _TAG.match(source, lt) or _LOOSE.match(source, lt)
+            m = (_TAG.match(source, lt) or _LOOSE.match(source, lt)) if lt < last else None
             if not m:
-                if re.match(r"</?[a-zA-Z]", source[lt : lt + 3]) and source.find(">", lt) < 0:
+                if lt > last and _OPEN.match(source, lt):
                     break  # a tag that the end of the page cuts off
                 pieces.append((stack[-1], "<"))
                 at = lt + 1
@@ -91,6 +97,7 @@ class Page:
                 continue
             if tag in BLOCK:
                 self._implied(tag, stack, places)
+            if tag in BLOCK or tag == "br":
                 pieces.append((stack[-1], None))
             if tag in VOID:
                 continue
@@ -100,9 +107,12 @@ class Page:
             self.off.append("data-y=0" in m[3])
             node = len(self.tag) - 1
             if tag in RAW:
-                end = re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>").search(source, at)
-                at = end.end() if end else n
-            elif not m[3].endswith("/") or tag in BLOCK:
+                end = re.compile(rf"(?i)</{re.escape(tag)}\b").search(source, at)
+                close = source.find(">", end.end()) if end else -1
+                at = n if close < 0 else close + 1
+            elif not (m[3].endswith("/") and (tag in FOREIGN or any(places.get(x) for x in FOREIGN))):
+                if tag in BLOCK:
+                    self.blocks.append(len(stack))
                 places[tag].append(len(stack))
                 stack.append(node)
 
@@ -110,19 +120,20 @@ class Page:
         """Close the elements from a place of the stack on."""
         for node in stack[at:]:
             places[self.tag[node]].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
         del stack[at:]
 
     def _implied(self, tag: str, stack: list[int], places: dict[str, list[int]]) -> None:
-        closes, bound = IMPLIED.get(tag, (set(), set()))
-        for i in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[i]]
-            if name in closes or name == "p":
-                self._cut(stack, places, i)
-                if name in closes or not closes:
-                    return
-                continue
-            if name in bound or (name in BLOCK and not closes):
-                return
+        """A block closes the p that is the innermost block; some also the elements of their kind up to a bound."""
+        if tag in IMPLIED:
+            closes, bound = IMPLIED[tag]
+            floor = max((places[name][-1] for name in bound if places.get(name)), default=0)
+            found = [x[i] for name in (*closes, "p") if (x := places.get(name)) and (i := bisect_right(x, floor)) < len(x)]
+            if found:
+                self._cut(stack, places, min(found))
+        elif self.blocks and self.tag[stack[self.blocks[-1]]] == "p":
+            self._cut(stack, places, self.blocks[-1])
 
     def _close(self, tag: str, stack: list[int], places: dict[str, list[int]]) -> None:
         if tag in BLOCK:
@@ -289,13 +300,13 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[Page, list[int]]]
         parts = [f"<h1>{text(2, 8)}</h1>" if rng.random() < 0.8 else f"<header><h1>{text(2, 8)}</h1></header>"] if rng.random() < 0.9 else []
         for _ in range(rng.choice((1, 2, 4, 8, 14))):
             kind = rng.random()
-            if kind < 0.7:
+            if kind < 0.66:
                 parts.append(f"<p>{inline(prose())}</p>")
-            elif kind < 0.78:
+            elif kind < 0.73:
                 parts.append(f"<h2>{text(1, 6)}</h2><p>{prose()}</p>")
-            elif kind < 0.84:
-                parts.append(f"<{(l := rng.choice(('ul', 'ol')))}>" + "".join(f"<li>{prose()}</li>" for _ in range(rng.randint(2, 5))) + f"</{l}>")
-            elif kind < 0.88:
+            elif kind < 0.86:
+                parts.append(f"<{(l := rng.choice(('ul', 'ol')))}>" + "".join(f"<li>{prose()}</li>" if rng.random() < 0.7 else f"<li><p>{prose()}</p></li>" for _ in range(rng.randint(2, 5))) + f"</{l}>")
+            elif kind < 0.89:
                 parts.append(f"<blockquote><p>{prose()}</p></blockquote>")
             elif kind < 0.92:
                 parts.append("<table>" + "".join(f"<tr><td>{text(1, 3)}</td><td>{text(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
@@ -333,8 +344,9 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[tuple[Page, list[int]]]
             before.append(off("div", rng.choice(("cookie notice", "consent popup", "alert")), f"<p>{sentence()}</p>"))
         if rng.random() < 0.15:
             before.append(off("div", "breadcrumb", f"{link()} {link()}"))
+        nested = rng.random() < 0.6
         for chance, mark, made in (
-            (0.35, "sidebar", f"<h3>{text(1, 3)}</h3><ul>{items(2, 6)}</ul>"), (0.25, "related recommended", f"<ul>{items(2, 5)}</ul>"), (0.3, "comments", "".join(f'<div class="comment"><p>{prose()}</p></div>' for _ in range(3))), (0.06, "comment-list", "".join(f"<li><p>{prose()}</p></li>" for _ in range(3))),
+            (0.35, "sidebar", f"<h3>{text(1, 3)}</h3><ul>{items(2, 6)}</ul>"), (0.25, "related recommended", f"<ul>{items(2, 5)}</ul>"), (0.3, "comments", "".join(f'<div class="comment"><p>{prose()}</p></div>' if nested else f"<p>{prose()}</p>" for _ in range(3))), (0.2, "comment-list", "".join(f"<li><p>{prose()}</p></li>" for _ in range(3))),
             (0.2, "newsletter subscribe", f"<p>{sentence()}</p>"), (0.15, "widget", f"<p>{text(2, 9)}</p>"), (0.15, "pagination", f"{link()} {link()}"),
         ):
             if rng.random() < chance:

@@ -477,6 +477,8 @@ PAGES = [
     ("<nav><ul><li><a href=x>m</a></ul></nav><div class='ad'>Buy, now.</div><article><p>Text, here.</p></article>", "Text, here."),
     ("<article><p>x</p><script>var a='</p>'</script><style>p{}</style><form><p>q</p></form><p>y</article>", "x\ny"),
     ("just words", "just words"), ("", ""), (None, ""), ("<!-- only", ""), ("<p></p>", ""), ("a < b", "a < b"), ("<article><p>1 &lt; 2 &#233;&nbsp;x</p>", "1 < 2 é x"), ("<article><p>cut <a hre", "cut"),
+    ("<article><p>Some words, here.</p><p class='ad'>Buy our shoes now, cheap.<br>Visit the shop today, please.</p><p>More words, there.</p></article>", "Some words, here.\nMore words, there."),
+    ("<article><p>x <a href=/x/>link</a> y, z.</p><p>b<svg/>c</p></article>", "x link y, z.\nbc"), ("<article><table><tr><td>1<td>2<tr><td>3</table><ul><li><p>Some words, here.<li>More words, there.</ul>", "1\n2\n3\nSome words, here.\nMore words, there."),
 ]
 
 
@@ -499,6 +501,53 @@ def test_html_long_class_lists_and_deep_nesting():
     assert text(f"<article><p>Some words, here.</p><p {'class=' + chr(39) + busy + ' a b c' + chr(39)} hidden>gone, away.</p></article>") == "Some words, here."
 
 
+def made_page(rng):
+    """A page unlike the training ones and its text, put down block by block while it is made."""
+    words = "harbour lantern gravel copper meadow winter signal basket thunder violet market silver garden window paper".split()
+    text = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
+    line = lambda: f"{text(4, 9).capitalize()}, {text(3, 8)}."
+    lines = lambda n: [" ".join(line() for _ in range(rng.randint(1, 3))) for _ in range(n)]
+    br = lambda x: rng.choice(("<br>", "<br/>", "<BR />")).join(x)
+    off = lambda mark, tag="div": f"<{tag} class='box {mark} wide-{rng.randint(1, 9)}'>" + rng.choice((br(lines(2)), f"<p>{br(lines(2))}</p><p>{line()}<br>{line()}", f"<b>{text(1, 3)}</b><br>{line()}")) + f"</{tag}>"
+    title = text(2, 6)
+    body, want = [f"<h1>{title}</h1>"], [title]
+    for _ in range(rng.randint(2, 7)):
+        kind = rng.random()
+        x = lines(rng.randint(1, 3))
+        if kind < 0.6:
+            body.append(f"<p>{br(x)}" + rng.choice(("", "</p>")))
+            want += x
+        elif kind < 0.75:
+            body.append("<ul>" + "".join(f"<li>{y}" for y in x) + "</ul>")
+            want += x
+        else:
+            body.append(off(rng.choice(("advert", "ad sponsor", "newsletter"))) + rng.choice(("", f"<p class='ad'>{br(lines(2))}</p>")))
+    front = [off("cookie-notice"), off("banner ads"), f"<nav><ul><li><a href=/{text(1, 1)}/>{text(1, 2)}</a><li><a href=/>{text(1, 1)}</a></ul></nav>"]
+    after = [off("comments", "section"), f"<ol class='comment-list'><li><p>{br(lines(2))}<li><p>{line()}</ol>", off("related"), f"<footer><p>{br(lines(2))}</p></footer>", f"<form><p>{line()}<br>{line()}</form>"]
+    pick = lambda x: "".join(y for y in x if rng.random() < 0.6)
+    article = "".join(body)
+    return f"<!doctype html><html><head><title>{text(1, 4)}</title><style>p > b {{}}</style></head><body>{pick(front)}{rng.choice(('<article>{}</article>', '<main><article>{}</article></main>')).format(article)}{pick(after)}</body></html>", "\n".join(want)
+
+
+def test_html_pages_that_training_never_saw():
+    model = html_extract.Model(html_extract.labelled_pages())
+    pages = [made_page(random.Random(seed)) for seed in range(200)]
+    same = sum(html_extract.extract(source, model)[0] == want for source, want in pages)
+    assert same >= 0.95 * len(pages), same
+
+
+def test_html_time_is_linear():
+    import time
+
+    for made in (lambda n: "<b>" * n + "<br>" * n, lambda n: "<script></script " * n, lambda n: "<td>x" * n, lambda n: "<p><b>" * n, lambda n: "<li><p>" * n, lambda n: "<a '>" * n):
+        spent = []
+        for n in (4000, 32000):
+            start = time.perf_counter()
+            html_extract.Page(made(n))
+            spent.append(time.perf_counter() - start)
+        assert spent[1] < 24 * max(spent[0], 0.01)
+
+
 def test_html_held_out_accuracy():
     model = html_extract.Model(html_extract.labelled_pages())
     right = total = same = 0
