@@ -219,7 +219,7 @@ class Model:
         for kind, known in values.items():
             for value in known:
                 if kind == "mark":  # of all nodes of the label: most have no mark
-                    p = [(unary[kind, y][value] + 0.1) / (self.classes[y] + 0.2) for y in (0, 1)]
+                    p = [(unary[kind, y][value] + 0.005) / (self.classes[y] + 0.2) for y in (0, 1)]
                 else:
                     p = [(unary[kind, y][value] + 0.5) / (sum(unary[kind, y].values()) + 0.5 * len(known)) for y in (0, 1)]
                 self.unary[kind, value] = (math.log(p[0]), math.log(p[1]))

@@ -52,34 +52,40 @@ def chunk_count(spark: SparkSession, n_bytes: int, per: int = CHUNK_BYTES) -> in
     return max(shuffle_parts(spark), math.ceil(n_bytes / per), 1)
 
 
-def ordered_chunks(docs: DataFrame, n: int, most_cuts: int = 2000) -> DataFrame:
-    """docs with a column ``chunk`` that never decreases as doc_id grows; null ids come last.
+def ordered_chunks(docs: DataFrame, per: int = CHUNK_BYTES, most_ranges: int = 2000) -> tuple[DataFrame, int]:
+    """docs(doc_id, text, digest) with a column ``chunk`` that never decreases as (doc_id nulls last, digest)
+    grows, and the number of chunks.
 
-    Rows of one id share a chunk, so order across chunks is order of ids. Quantiles of the ids cut at most
-    most_cuts ranges, which bounds what the driver holds; more chunks split each range evenly by value."""
+    Quantiles of the ids cut ranges whose text bytes are summed; their number is bounded, so what the driver
+    holds is. Small ranges share a chunk; a large one is cut evenly by id, and one that is a single id, or no
+    id, evenly by digest, so that chunks stand for about ``per`` bytes each."""
     from pyspark.ml.feature import Bucketizer
 
-    q = min(n, most_cuts)
-    parts = math.ceil(n / q)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / q for i in range(q + 1)], 1 / (8 * q))))
-    inner = cuts[1:-1]
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("double"))
-    if not inner:
-        keyed, at = keyed.withColumn("_at", F.lit(0.0)), F.lit(0)
-    else:
-        keyed = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_id", outputCol="_at", handleInvalid="keep").transform(keyed)
-        at = F.col("_at").cast("int")
-    if parts > 1 and len(cuts) > 1:
-        low, high = (F.element_at(F.array(*map(F.lit, ends)), at + 1) for ends in ([*cuts[:-1], cuts[-1]], [*cuts[1:], cuts[-1]]))
-        place = F.floor((F.col("_id") - low) / F.greatest(high - low, F.lit(1.0)) * parts)
-        at = at * parts + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(parts - 1), place)), F.lit(0)).cast("int")
-    last = (len(inner) + 1) * parts
-    return keyed.withColumn("chunk", F.when(F.col("_id").isNull(), last).otherwise(at)).drop("_id", "_at")
-
-
-def hashed_chunks(docs: DataFrame, n: int) -> DataFrame:
-    """docs with a column ``chunk`` from a hash of id and text, so that rows of one id or one text spread."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    quantiles = docs.approxQuantile("doc_id", [i / most_ranges for i in range(most_ranges + 1)], 1 / (4 * most_ranges)) or [0.0]
+    often = {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}
+    cuts = sorted({*quantiles, *often, *(x + 1 for x in often)})
+    none = len(cuts) + 1  # range 0 is below the first cut, i from the i-th cut on, and the last holds null ids
+    placed = docs.withColumn("_id", F.col("doc_id").cast("double"))
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="_at", handleInvalid="keep").transform(placed)
+    placed = placed.withColumn("_at", F.when(F.col("_id").isNull(), none).otherwise(F.col("_at").cast("int")))
+    sizes = {r[0]: r[1] for r in placed.groupBy("_at").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).collect()}  # at most 3 * most_ranges rows
+    first, parts, now, held = [], [], 0, 0
+    for at in range(none + 1):
+        size = sizes.get(at) or 0
+        if held and held + size > per:
+            now, held = now + 1, 0
+        first.append(now)
+        parts.append(max(1, math.ceil(size / per)))
+        held += size
+        if parts[-1] > 1:
+            now, held = now + parts[-1], 0
+    pick = lambda values, kind: F.element_at(F.expr(f"cast(array({','.join(map(repr, values))}) as array<{kind}>)"), F.col("_at") + 1)
+    low, high = pick([cuts[0], *cuts, 0.0], "double"), pick([cuts[0], *cuts[1:], cuts[-1], 0.0], "double")
+    lone = pick([0, *(int(c in often) for c in cuts), 1], "int") == 1
+    share = F.when(lone, F.col("digest") / F.lit(2.0**64) + 0.5).otherwise((F.col("_id") - low) / F.greatest(high - low, F.lit(1.0)))
+    most = pick(parts, "int")
+    part = F.least(F.greatest(F.floor(share * most), F.lit(0)), most - 1)
+    return placed.withColumn("chunk", (pick(first, "int") + part).cast("int")).drop("_id", "_at"), first[-1] + parts[-1]
 
 
 class WordHashes(dict):

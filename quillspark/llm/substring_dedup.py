@@ -1,12 +1,13 @@
 """Substring removal by Rabin-Karp hashes of every fixed-length token window.
 
 One exchange carries the window hashes, 8 bytes a window and packed by hash range, and a bit a window
-comes back; chunks are ranges of doc_id, so the first chunk that holds a hash holds its first start.
+comes back; chunks are ranges of doc_id of about equal bytes, so the first chunk that holds a hash holds its
+first start. A chunk sends at most one row a bucket and never an empty one, so rows never outnumber windows.
 Windows are judged on the input; overlapping repeated windows merge into maximal removal intervals.
 
 Defined cases: null or empty text has no words and yields the hash of the empty string; a text shorter
-than the window loses nothing; null doc_id sorts last; rows that repeat an id are ordered by text, and
-equal rows are repeats of the first; other columns of the input are ignored.
+than the window loses nothing; null doc_id sorts last; rows that repeat an id, or have none, are ordered by a
+digest of their text, and equal rows are repeats of the first; other columns of the input are ignored.
 Hashes have 64 bits over XXH64 word values: n windows give about n*n/2**65 chance matches.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def _rows(tab):
-    """(doc_id, words) of a chunk in order: ids ascending, null last, then text."""
-    ids, texts = tab.column("doc_id").to_pylist(), shared.text_bytes(tab.column("text"))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+    """(doc_id, words) of a chunk in order: ids ascending, null last, then digest and text."""
+    ids, digests, texts = tab.column("doc_id").to_pylist(), tab.column("digest").to_pylist(), shared.text_bytes(tab.column("text"))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, digests[i], texts[i]))
     return [(ids[i], texts[i].split()) for i in order]
 
 
@@ -125,16 +127,17 @@ def _applier(width: int):
     return apply
 
 
-def remove_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, chunk_bytes: int = shared.CHUNK_BYTES) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_words, n_removed, kept_text and the removed word intervals."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, size = shared.text_profile(docs)
-    n = shared.chunk_count(spark, size)
-    chunked = shared.ordered_chunks(docs, n)
+    chunked, n = shared.ordered_chunks(docs.withColumn("digest", F.xxhash64("text")), chunk_bytes)
+    n = max(n, shared.shuffle_parts(spark))
+    # as many partitions as chunks: what a task reads does not grow with the input
+    chunked = chunked.repartition(n, "chunk")
     sent = chunked.groupBy("chunk").applyInArrow(_emitter(width, n), _EMIT)
-    masks = sent.groupBy("bucket").applyInArrow(_reduce, _MASK)
-    return chunked.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(_applier(width), _OUT)
+    masks = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_reduce, _MASK)
+    return chunked.groupBy("chunk").cogroup(masks.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_applier(width), _OUT)
 
 
 def op6_query(spark, sf_dir) -> DataFrame:
@@ -166,7 +169,8 @@ FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 def brute_force(rows: list[tuple], width: int) -> dict:
     """For tests: rows (doc_id, text) to doc_id -> (n_words, n_removed, sha256 of the kept words)."""
     seen, out = set(), {}
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+    digest = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64) if t is not None else 42
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, digest(r[1]))):
         words = (text or "").encode().split()
         gone = [False] * len(words)
         for i in range(len(words) - width + 1):

@@ -46,32 +46,38 @@ def words(t):
     return (t or "").encode().split()
 
 
-def test_substring_removal(docs, empty):
-    for width in (3, 20):
-        want = substring_dedup.brute_force([(r.doc_id, r.text) for r in docs.collect()], width)
-        got = defaultdict(list)
-        for r in substring_dedup.remove_repeats(docs, width).collect():
-            got[r.doc_id].append((r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()))
-            assert sum(i.end - i.start for i in r.intervals) == r.n_removed
-            assert all(a.end < b.start for a, b in zip(r.intervals, r.intervals[1:]))
-        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+@pytest.mark.parametrize("width, per", [(3, 8 << 20), (20, 8 << 20), (20, 1500), (3, 400)])
+def test_substring_removal(docs, empty, width, per):
+    """Small chunks cut between rows of one id and between rows without one."""
+    want = substring_dedup.brute_force([(r.doc_id, r.text) for r in docs.collect()], width)
+    got = defaultdict(list)
+    for r in substring_dedup.remove_repeats(docs, width, per).collect():
+        got[r.doc_id].append((r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()))
+        assert sum(i.end - i.start for i in r.intervals) == r.n_removed
+        assert all(a.end < b.start for a, b in zip(r.intervals, r.intervals[1:]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_chunks_follow_ids(spark):
+def test_chunks_follow_ids_and_split_hot_ones(spark):
     rng = random.Random(4)
-    ids = [rng.choice((rng.randint(0, 50), rng.randint(0, 10**12))) for _ in range(900)] + [None, 7, 7]
-    d = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
-    for n, cuts in ((1, 2000), (12, 2000), (40, 5), (64, 1)):
-        got = shared.ordered_chunks(d, n, cuts).select("doc_id", "chunk").collect()
+    ids = [rng.choice((rng.randint(0, 50), rng.randint(0, 10**12))) for _ in range(900)] + [None] * 400 + [7] * 500
+    d = spark.createDataFrame([(i, "t" * rng.choice((1, 10, 300)) + str(n)) for n, i in enumerate(ids)], "doc_id long, text string").withColumn("digest", F.xxhash64("text"))
+    total = sum(len(r.text) for r in d.collect())
+    for per, ranges in ((10**9, 2000), (5000, 2000), (5000, 5), (2000, 40)):
+        chunked, n = shared.ordered_chunks(d, per, ranges)
+        got = chunked.collect()
         assert len(got) == len(ids)
-        placed = sorted((r.chunk, r.doc_id) for r in got if r.doc_id is not None)
-        assert [i for _, i in placed] == sorted(i for i in ids if i is not None)
-        assert next(r.chunk for r in got if r.doc_id is None) > placed[-1][0]
-        assert len({r.chunk for r in got}) > n // 3
-        apart = {}
+        placed = sorted((r.doc_id is None, r.doc_id or 0, r.digest, r.chunk) for r in got)
+        chunks = [p[3] for p in placed]
+        assert chunks == sorted(chunks) and 0 <= chunks[0] and chunks[-1] < n <= 3 * total / per + 2
+        sizes = defaultdict(int)
         for r in got:
-            assert apart.setdefault(r.doc_id, r.chunk) == r.chunk
+            sizes[r.chunk] += len(r.text)
+        if ranges == 2000:
+            assert max(sizes.values()) <= max(3 * per, 0) and (per > total or len(sizes) > total / per / 3)
+    alone, n = shared.ordered_chunks(d.where("doc_id IS NULL"), 3000)
+    assert alone.select("chunk").distinct().count() > 5 and n < 40
 
 
 @pytest.mark.parametrize("least, epsilon, split, chunk", [(8, 0.02, 10**6, 8 << 20), (3, -10.0, 10**6, 2000), (5, 0.02, 40, 2000), (3, 0.0, 7, 500)])
@@ -534,6 +540,10 @@ def test_html_pages_that_training_never_saw():
     pages = [made_page(random.Random(seed)) for seed in range(200)]
     same = sum(html_extract.extract(source, model)[0] == want for source, want in pages)
     assert same >= 0.95 * len(pages), same
+    words = [f"Some words of the article, here it goes on number {i}." for i in range(3)]
+    for box in ("<article>{}</article>", "<div class=content>{}</div>"):
+        page = "<body class='has-sidebar comments-open'>" + box.format("".join(f"<p>{w}" for w in words)) + "<footer>foot</footer>"
+        assert html_extract.extract(page, model)[0] == "\n".join(words)
 
 
 def test_html_time_is_linear():
