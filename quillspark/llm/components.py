@@ -12,7 +12,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a long, b long) to (node, root): root is the smallest node reachable.
 
     Each round keeps at most one row per node and edge, is checkpointed to the shared folder, and only a
-    count and a checksum reach the driver. Loops and repeated edges are dropped; no edges give no rows."""
+    count and a checksum reach the driver. Loops and repeated edges are dropped; no edges give no rows.
+
+    A node of very many edges is a hot key of one side of the joins only: the other side has one row a node, so
+    adaptive execution splits the hub's rows over tasks, and the aggregates combine before they shuffle."""
     shared.checkpoint_dir(edges.sparkSession)
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     seen = None

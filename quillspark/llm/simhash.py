@@ -181,13 +181,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """One row of docs per group: of the least doc_id (nulls last), and of several rows with that id the one of least text digest.
 
-    Rows equal in id and text are one; which of them stays is open where other columns differ."""
+    Rows equal in id and text are one; of those the one whose columns have the least digest stays, so reruns agree."""
     groups = near_duplicates(docs, width, radius).where("doc_id <=> component_id")
     # rows of one text share a root, so no two roots name the same id and digest
     first = groups.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("digest").alias("_digest"))
+    names = [f"`{c}`" for c in docs.columns]
     kept = docs.withColumn("_text_digest", F.xxhash64(F.col("text").cast("string")))
     kept = kept.join(first, kept.doc_id.cast("long").eqNullSafe(first._id) & (kept._text_digest == first._digest), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_digest"]).drop("_text_digest")
+    one = kept.groupBy(F.col("doc_id").alias("_i"), "_text_digest").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_row"))
+    return one.select("_row.*")
 
 
 def op9_query(spark, sf_dir) -> DataFrame:
