@@ -35,30 +35,51 @@ def quality_weight(text):
     return F.greatest(F.lit(0.05), F.lit(1.0) - 5 * junk)
 
 
+def ranked(names: DataFrame, column: str = "source") -> DataFrame:
+    """names, distinct in the column, with their place by code point from 0 on, null last, and no window over all.
+
+    The column's range partitioning cuts it; sizes of ranges are accumulated and ranks run within a range."""
+    dealt = shared.written(names.repartitionByRange(F.col(column).isNull(), F.col(column)).withColumn("_r", F.spark_partition_id()), "mix-sources")
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_r").count().collect())  # a row per shuffle partition
+    start, held = {}, 0
+    for r, n in sizes:
+        start[r], held = held, held + n
+    from_ = F.coalesce(F.element_at(F.expr("map(" + ",".join(f"{r},{n}L" for r, n in start.items()) + ")"), F.col("_r")), F.lit(0)) if start else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("_r").orderBy(F.col(column).isNull(), column))
+    return dealt.withColumn("rank", from_ + within - 1).drop("_r")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """sizes(source, source_size) to target: weighted shares, stopped at cap sizes, the excess reshared.
 
-    Resharing until no target is above its cap ends at one level per unit of weight; the sources below
-    it are those whose cap per weight is smallest."""
-    every = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
-    step = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("double"))
-    step = step.withColumn("most", (cap * F.col("source_size")).cast("double")).withColumn("total", share * F.sum("source_size").over(every))
-    order = Window.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source")
-    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    step = step.withColumn("capped", F.col("most") * left <= (F.col("total") - before) * F.col("w"))
-    held = F.coalesce(F.sum(F.when(F.col("capped"), F.col("most"))).over(every), F.lit(0.0))
-    free = F.sum(F.when(~F.col("capped"), F.col("w"))).over(every)
-    return step.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise((F.col("total") - held) * F.col("w") / free).alias("target"), *(c for c in ("n_rows",) if c in sizes.columns))
-
-
-def mix(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """docs(doc_id, text, source) to doc_id, size, source_size, target, taken, key, source."""
+    The level per unit of weight rises as sources reach their caps; it is found by aggregates over the sources,
+    a few at most, since each round only adds capped ones."""
+    step = ranked(sizes).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")).cast("double"))
+    step = step.withColumn("most", (cap * F.col("source_size")).cast("double"))
+    total = share * float(step.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    held, free, level, n = 0.0, 0.0, 0.0, -1
+    while True:
+        capped = (F.col("most") <= level * F.col("w")) if n >= 0 else F.lit(False)
+        got = step.agg(F.count_if(capped), F.coalesce(F.sum(F.when(capped, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~capped, F.col("w"))), F.lit(0.0))).first()
+        if got[0] == n or not got[2]:
+            held, free = got[1], got[2]
+            break
+        n, held, free = got
+        level = (total - held) / free
+    capped = F.col("most") <= level * F.col("w")
+    target = F.when(capped, F.col("most")).otherwise(F.lit(total - held) * F.col("w") / F.lit(free or 1.0))
+    return step.select("source", "source_size", target.alias("target"), *(c for c in ("n_rows",) if c in sizes.columns))
+
+
+def mix(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SHARE, weight=None) -> DataFrame:
+    """docs(doc_id, text, source) to doc_id, size, source_size, target, taken, key, source.
+
+    ``weight`` is a positive quality weight of a row, a Column such as a classifier's score; without one it is
+    quality_weight() of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / quality_weight(text)).alias("key"))
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / (quality_weight(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-6)))).alias("key"))
     made = shared.written(made, "mix")
     sizes = made.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     plan = source_targets(sizes, weights, share)

@@ -41,12 +41,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_profile(docs: DataFrame) -> tuple[int, int]:
-    """Rows and text bytes, by one aggregate that reads the text column only."""
-    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    return int(row[0]), int(row[1])
-
-
 def chunk_count(spark: SparkSession, n_bytes: int, per: int = CHUNK_BYTES) -> int:
     """Chunks grow with the input, so that each stays of one size; never fewer than shuffle partitions."""
     return max(shuffle_parts(spark), math.ceil(n_bytes / per), 1)

@@ -145,6 +145,8 @@ def test_one_of_each_near_duplicate_group_stays(spark):
     rows = [(None, t, "s") for t in lone] + [(None, copied, "s")] * 4 + [(7, t, "s") for t in twice] + [(7, twice[0], "s"), (9, twice[1], "s"), (None, named, "s"), (12, named, "s"), (11, named, "s")]
     rng.shuffle(rows)
     kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).collect()), key=repr)
+    ties = [(3, lone[0], s) for s in "cab"]
+    assert [r.source for r in simhash.keep_one(frame(spark, ties)).collect()] == [r.source for r in simhash.keep_one(frame(spark, ties[::-1]).repartition(3)).collect()]
     assert kept == sorted([(None, t) for t in lone] + [(None, copied)] + [(7, t) for t in twice] + [(11, named)], key=repr)
 
 
@@ -209,6 +211,35 @@ def test_mixing_prefers_better_documents(spark):
     assert extra(1) > extra(0)
 
 
+def test_mixing_by_a_weight_column(spark):
+    rows = [(i, f"a b c {i}", "s") for i in range(400)] + [(1000 + i, "x", "t") for i in range(4)]
+    d = frame(spark, rows).withColumn("score", F.when(F.col("doc_id") % 2 == 0, F.lit(0.02)).when(F.col("doc_id") % 2 == 1, F.lit(0.9)))
+    got = mixing.mix(d, weight=F.col("score")).where("source = 's'").collect()
+    extra = lambda odd: sum(r.taken - r.size for r in got if r.doc_id % 2 == odd)
+    assert extra(1) > 2 * extra(0)
+    nothing = mixing.mix(d, weight=F.lit(None))
+    assert nothing.count() == 404
+
+
+def test_many_sources(spark):
+    """Ranks and targets against plain Python, with caps that bind one after the other."""
+    rng = random.Random(12)
+    rows = [(f"s{i:03d}" if i else None, rng.choice((0, 1, 5, 40, 1000, 30000))) for i in range(60)] + [("é", 7), ("Z", 3), ("", 9)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(order)}
+    most, total = {s: 2.0 * n for s, n in rows}, 1.5 * sum(n for _, n in rows)
+    capped = set()
+    while True:
+        level = (total - sum(most[s] for s in capped)) / sum(weight[s] for s in weight if s not in capped)
+        now = {s for s in weight if most[s] <= level * weight[s]}
+        if now == capped:
+            break
+        capped = now
+    assert got == {s: pytest.approx(most[s] if s in capped else level * weight[s]) for s in weight}
+    assert sum(got.values()) == pytest.approx(total)
+
+
 def test_source_targets_reshare(spark):
     rows = [("a", 1), ("b", 100), ("c", 50), (None, 0)]
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
