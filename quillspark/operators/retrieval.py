@@ -57,14 +57,12 @@ def sliding_chunks(code: Column, size: int = 80, overlap: int = 40) -> Column:
 def line_chunks(code: Column, language: str = "python") -> Column:
     """Chunks that begin at lines which open a definition; blank chunks are dropped."""
     opens = LINE_DEFINITIONS.get(language.lower(), LINE_DEFINITIONS["python"])
-    marked = F.transform(F.split(code, "\n"), lambda s: F.struct(s.alias("s"), s.rlike(opens).alias("opens")))
 
-    def add(acc, x):
-        fresh = x["opens"] | (F.size(acc) == 0)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), x["s"])))
-        return F.when(fresh, F.concat(acc, F.array(x["s"]))).otherwise(grown)
+    def cut(got):
+        starts = F.filter(F.transform(got, lambda s, i: F.when((i == 0) | s.rlike(opens), i)), lambda i: i.isNotNull())
+        return F.transform(starts, lambda a, i: F.array_join(F.slice(got, a + 1, F.coalesce(F.get(starts, i + 1), F.size(got)) - a), "\n"))
 
-    return F.filter(F.aggregate(marked, F.array().cast("array<string>"), add), lambda c: text.strip(c) != "")
+    return F.filter(text.let(F.split(code, "\n"), cut), lambda c: text.strip(c) != "")
 
 
 def split_functions(code: str, language: str = "python") -> list[str]:

@@ -24,18 +24,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-ASCII = r"[^\x00-\x7F]"
-#: Stand-in for OCR output at ratios 1, 2 and 4 of benchmark items, in ASCII since DuckDB's levenshtein counts bytes.
+#: DuckDB's levenshtein counts bytes: the characters of a pair are numbered, so that each is one byte.
+_NUMBERED = "array_to_string(list_transform(string_split({}, ''), lambda c: chr(CAST(list_position(v, c) + 32 AS INTEGER))), '')"
+#: Stand-in for OCR output at ratios 1, 2 and 4 of benchmark items.
 _OCR_SQL = r"""
-WITH g AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS r FROM benchmark),
+WITH g AS (SELECT item_id, text AS r FROM benchmark),
 o AS (SELECT item_id, ratio, r, CASE ratio WHEN 1.0e0 THEN r WHEN 2.0e0 THEN replace(r, 'th', 't') ELSE translate(r, '.,e', '') END AS h FROM g, (VALUES (1.0e0), (2.0e0), (4.0e0)) v(ratio)),
 n AS (SELECT *, array_to_string(list_filter(list_transform(string_split(r, chr(10)), lambda x: rtrim(x)), lambda x: x <> ''), chr(10)) AS a, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: rtrim(x)), lambda x: x <> ''), chr(10)) AS b FROM o),
-s AS (SELECT ratio, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0e0 ELSE 0.0e0 END ELSE levenshtein(a, b)::DOUBLE / length(a) END AS cer FROM n)
-"""
+m AS (SELECT *, list_distinct(string_split(a || b, '')) AS v FROM n),
+s AS (SELECT ratio, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0e0 ELSE 0.0e0 END ELSE levenshtein(A_, B_)::DOUBLE / length(a) END AS cer FROM m)
+""".replace("A_", _NUMBERED.format("a")).replace("B_", _NUMBERED.format("b"))
 
 
 def _ocr(spark, sf_dir):
-    truth = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("code_id"), F.regexp_replace("text", ASCII, "").alias("code"))
+    truth = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("code_id"), F.col("text").alias("code"))
     read = relational.expand_ratios(truth.withColumnRenamed("code", "seen"), (1, 2, 4))
     ratio = F.col("ratio")
     read = read.select("code_id", "ratio", F.when(ratio == 1, F.col("seen")).when(ratio == 2, F.replace("seen", F.lit("th"), F.lit("t"))).otherwise(F.translate("seen", ".,e", "")).alias("text"))
@@ -89,17 +91,18 @@ def ocr_wer(spark, sf_dir):
 
 
 _ES_SQL = r"""
-WITH t AS (SELECT item_id, m.mode, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM benchmark, (VALUES ('text_only'), ('image_ratio2')) m(mode)),
+WITH t AS (SELECT item_id, m.mode, text AS t FROM benchmark, (VALUES ('text_only'), ('image_ratio2')) m(mode)),
 p AS (SELECT item_id, mode, t, CASE WHEN mode = 'text_only' THEN CASE WHEN item_id % 2 = 0 THEN '# note' || chr(10) || '  ' || t ELSE t || chr(10) || 'more' END ELSE translate(t, 'e', '') END AS p FROM t),
 l AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#')) AS b0 FROM p),
 c AS (SELECT *, b0[1:len(a)] AS b FROM l),
 s AS (SELECT item_id, mode, array_to_string(a, chr(10)) AS x, array_to_string(b, chr(10)) AS y, a, b FROM c),
-r AS (SELECT item_id, mode, CASE WHEN x = '' AND y = '' THEN 100.0e0 WHEN x = '' OR y = '' THEN 0.0e0 ELSE (1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y))) * 100 END AS es, CASE WHEN a = b THEN 100.0e0 ELSE 0.0e0 END AS em FROM s)
-"""
+n AS (SELECT *, list_distinct(string_split(x || y, '')) AS v FROM s),
+r AS (SELECT item_id, mode, CASE WHEN x = '' AND y = '' THEN 100.0e0 WHEN x = '' OR y = '' THEN 0.0e0 ELSE (1 - levenshtein(X_, Y_)::DOUBLE / greatest(length(x), length(y))) * 100 END AS es, CASE WHEN a = b THEN 100.0e0 ELSE 0.0e0 END AS em FROM n)
+""".replace("X_", _NUMBERED.format("x")).replace("Y_", _NUMBERED.format("y"))
 
 
 def _completions(spark, sf_dir):
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", ASCII, "").alias("t"), F.explode(F.array(F.lit("text_only"), F.lit("image_ratio2"))).alias("mode"))
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"), F.explode(F.array(F.lit("text_only"), F.lit("image_ratio2"))).alias("mode"))
     plain = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("# note\n  "), "t")).otherwise(F.concat("t", F.lit("\nmore")))
     t = t.withColumn("p", F.when(F.col("mode") == "text_only", plain).otherwise(F.translate("t", "e", "")))
     return t.select("item_id", "mode", metrics.edit_similarity(F.col("t"), F.col("p"), any_length=False).alias("es"), metrics.exact_match(F.col("t"), F.col("p")).alias("em"))
@@ -268,8 +271,15 @@ def pipeline_reconstruction(spark, sf_dir):
     return pipelines.reconstruction(truth, clients.EchoClient, (1.0, 2.0)).select("code_id", "ratio", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"), F.round("line_sim", 6).alias("line_sim"), F.col("taxonomy")["Symbol_Loss"].alias("symbol_loss"))
 
 
+class _Prefixed(clients.EchoClient):
+    """Answers with the prompt after a fixed word; capitals of all letters differ between engines."""
+
+    def __init__(self):
+        super().__init__("Answer: ".__add__)
+
+
 @query("model_answers", """
-SELECT conv_id, turn, upper(text) AS output, greatest(1, length(text) // 4) AS prompt_tokens FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]+$')""")
+SELECT conv_id, turn, 'Answer: ' || text AS output, greatest(1, length(text) // 4) AS prompt_tokens FROM conversations""")
 def model_answers(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]+$")).select("conv_id", "turn", F.col("text").alias("prompt"))
-    return clients.ask_rows(rows, clients.EchoClient).select("conv_id", "turn", "output", "prompt_tokens")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return clients.ask_rows(rows, _Prefixed).select("conv_id", "turn", "output", "prompt_tokens")

@@ -130,13 +130,19 @@ def done_keys(spark, sf_dir):
     return relational.done_keys(rows)
 
 
-@query("split_pair", r"""
-SELECT conv_id, turn, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: x), lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> ''), chr(10))) AS left_digest, 'role ' || role AS right_text
-FROM conversations WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' AND NOT regexp_matches(text, '\n[ \t]*\n[ \t]*\n')""")
+_PAIR_SQL = r"""
+WITH f AS (SELECT conv_id, turn, chr(10) || chr(10) || chr(10) || replace(text, '. ', '.' || chr(10) || CASE WHEN turn % 3 = 0 THEN chr(10) || ' ' || chr(10) ELSE chr(10) END) || chr(10) || chr(10) || ' ' || chr(10) || 'role ' || role || chr(10) || chr(10) || chr(10) || chr(10) || 'last block' AS t FROM conversations),
+l AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN trim(x, chr(32) || chr(9) || chr(13)) = '' THEN '' ELSE x END), chr(10)) AS t FROM f),
+b AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(t, '\n\n\n+'), lambda x: replace(x, chr(10), '') <> ''), lambda x: trim(regexp_replace(x, '\n+', chr(10), 'g'), chr(10))) AS b FROM l)
+"""
+
+
+@query("split_pair", _PAIR_SQL + "SELECT conv_id, turn, md5(b[1]) AS left_digest, b[2] AS right_text FROM b")
 def split_pair(spark, sf_dir):
-    t = F.concat(F.lit("\n\n\n"), "text", F.lit("\n\n \nrole "), "role", F.lit("\n\n\n\nthird block"))
-    rows = table(spark, sf_dir, "conversations").where(~X.is_blank(F.col("text")) & ~F.col("text").rlike(r"\n[ \t]*\n[ \t]*\n"))
-    rows = rows.select("conv_id", "turn", X.split_pair(t).alias("p"))
+    """Every conversation turn as a file whose sentences are blocks: one blank line apart, or two and more."""
+    gap = F.when(F.col("turn") % 3 == 0, F.lit(".\n\n \n")).otherwise(F.lit(".\n\n"))
+    t = F.concat(F.lit("\n\n\n"), F.replace(F.col("text"), F.lit(". "), gap), F.lit("\n\n \nrole "), "role", F.lit("\n\n\n\nlast block"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.split_pair(t).alias("p"))
     return rows.select("conv_id", "turn", F.md5("p.left").alias("left_digest"), F.col("p.right").alias("right_text"))
 
 
@@ -160,35 +166,67 @@ def page_zip(spark, sf_dir):
 
 
 def _code():
-    """A small Python file made from each document's row."""
+    """A Python file made from each document: its text is the comment of a function."""
     extra = F.when(F.col("doc_id") % 3 == 0, "class C:\n    pass\n").otherwise("")
-    return F.concat(F.lit("import os\n\n@cache\ndef f"), F.col("doc_id").cast("string"), F.lit("(x):\n    return "), F.col("n_chars").cast("string"), F.lit("\n\n"), extra, F.lit("# "), "lang", F.lit("\n@wrap\n\nasync def g(y):\n    yield y"))
+    note = F.concat(F.lit("    # "), F.replace("text", F.lit("\n"), F.lit("\n    # ")), F.lit("\n"))
+    return F.concat(F.lit("import os\n\n@cache\ndef f"), F.col("doc_id").cast("string"), F.lit("(x):\n"), note, F.lit("    return "), F.col("n_chars").cast("string"), F.lit("\n\n"), extra, F.lit("# "), "lang", F.lit("\n@wrap\n\nasync def g(y):\n    yield y"))
 
 
-_CODE_SQL = "'import os' || chr(10) || chr(10) || '@cache' || chr(10) || 'def f' || doc_id || '(x):' || chr(10) || '    return ' || n_chars || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'class C:' || chr(10) || '    pass' || chr(10) ELSE '' END || '# ' || lang"
+_BODY_SQL = "'def f' || doc_id || '(x):' || chr(10) || '    # ' || replace(text, chr(10), chr(10) || '    # ') || chr(10) || '    return ' || n_chars"
+_CODE_SQL = f"'import os' || chr(10) || chr(10) || '@cache' || chr(10) || {_BODY_SQL} || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'class C:' || chr(10) || '    pass' || chr(10) ELSE '' END || '# ' || lang"
 
 
-@query("last_def_split", f"SELECT doc_id, {_CODE_SQL} AS background, '@wrap' || chr(10) || chr(10) || 'async def g(y):' || chr(10) || '    yield y' AS current FROM documents")
+@query("last_def_split", f"SELECT doc_id, md5({_CODE_SQL}) AS background, '@wrap' || chr(10) || chr(10) || 'async def g(y):' || chr(10) || '    yield y' AS current FROM documents")
 def last_def_split(spark, sf_dir):
     background, current = X.split_last_definition(_code())
-    return table(spark, sf_dir, "documents").select("doc_id", background.alias("background"), current.alias("current"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(background).alias("background"), current.alias("current"))
 
 
 @query("line_chunks", f"""
-SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS n_chunks, 'async def g(y):' || chr(10) || '    yield y' AS last_chunk FROM documents""")
+SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS n_chunks, md5('import os' || chr(10) || chr(10) || '@cache' || '|' || {_BODY_SQL} || chr(10)
+  || CASE WHEN doc_id % 3 = 0 THEN '|class C:' || chr(10) || '    pass' ELSE '' END || chr(10) || '# ' || lang || chr(10) || '@wrap' || chr(10) || '|async def g(y):' || chr(10) || '    yield y') AS digest FROM documents""")
 def line_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", retrieval.line_chunks(_code(), "python").alias("c")).select("doc_id", F.size("c").alias("n_chunks"), F.element_at("c", -1).alias("last_chunk"))
+    return table(spark, sf_dir, "documents").select("doc_id", retrieval.line_chunks(_code(), "python").alias("c")).select("doc_id", F.size("c").alias("n_chunks"), F.md5(F.array_join("c", "|")).alias("digest"))
 
 
-@query("function_chunks", """
+@query("function_chunks", f"""
 SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_pattern, CAST(CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END AS INTEGER) AS n_tree,
-  md5('import os' || chr(10) || chr(10) || '|@cache' || chr(10) || 'def f' || doc_id || '(x):' || chr(10) || '    return ' || n_chars || chr(10) || chr(10)
+  md5('import os' || chr(10) || chr(10) || '|@cache' || chr(10) || {_BODY_SQL} || chr(10) || chr(10)
     || CASE WHEN doc_id % 3 = 0 THEN '|class C:' || chr(10) || '    pass' || chr(10) ELSE '' END || '# ' || lang || chr(10) || '|@wrap' || chr(10) || chr(10) || 'async def g(y):' || chr(10) || '    yield y') AS digest FROM documents""")
 def function_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", retrieval.function_chunks(_code(), F.lit("python")).alias("by_pattern"), retrieval.syntax_chunks(_code(), F.lit("python")).alias("by_tree"))
     return rows.select("doc_id", F.size("by_pattern").alias("n_pattern"), F.size("by_tree").alias("n_tree"), F.md5(F.array_join("by_tree", "|")).alias("digest"))
 
 
+#: A small file in each language: what comes first, a definition around a comment, and a second definition.
+_SAMPLES = {
+    "cpp": ("#include <map>", "int twice(int x) {", "    return 2 * x;\n}", "class Box : public Base {\n    int n;\n};"),
+    "java": ("import java.util.List;", "public class Box extends Base {", "    int n;\n}", "final class Cup {\n    int m;\n}"),
+    "typescript": ("import x from 'y';", "function twice(x: number): number {", "    return 2 * x;\n}", "class Box extends Base {\n    n = 1;\n}"),
+    "rust": ("use std::io;", "pub fn twice(x: i32) -> i32 {", "    2 * x\n}", "struct Cup {\n    n: i32,\n}"),
+    "go": ("package main", "func twice(x int) int {", "    return 2 * x\n}", "type Cup struct {\n    n int\n}"),
+}
+
+
+@query("language_chunks", r"""
+WITH d AS (SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS k, '    // ' || regexp_replace(text, '[^A-Za-z ]', '', 'g') AS note FROM documents),
+p AS (SELECT doc_id, k, note, ['#include <map>', 'import java.util.List;', 'import x from ''y'';', 'use std::io;', 'package main'][k + 1] AS a,
+  ['int twice(int x) {', 'public class Box extends Base {', 'function twice(x: number): number {', 'pub fn twice(x: i32) -> i32 {', 'func twice(x int) int {'][k + 1] AS b,
+  ['    return 2 * x;', '    int n;', '    return 2 * x;', '    2 * x', '    return 2 * x'][k + 1] || chr(10) || '}' AS c,
+  ['class Box : public Base {#    int n;#};', 'final class Cup {#    int m;#}', 'class Box extends Base {#    n = 1;#}', 'struct Cup {#    n: i32,#}', 'type Cup struct {#    n int#}'][k + 1] AS e FROM d)
+SELECT doc_id, ['cpp', 'java', 'typescript', 'rust', 'go'][k + 1] AS language, CAST([4, 4, 3, 3, 3][k + 1] AS INTEGER) AS n_lines,
+  md5(a || '|' || b || chr(10) || note || chr(10) || c || '|' || replace(e, '#', chr(10))) AS digest FROM p""")
+def language_chunks(spark, sf_dir):
+    """Both chunkers in the languages other than Python; the letters of each document are a comment."""
+    at = (F.col("doc_id") % len(_SAMPLES) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in _SAMPLES.values())), at)
+    note = F.concat(F.lit("    // "), F.regexp_replace("text", "[^A-Za-z ]", ""))
+    code = F.concat(pick(0), F.lit("\n\n"), pick(1), F.lit("\n"), note, F.lit("\n"), pick(2), F.lit("\n\n"), pick(3), F.lit("\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, _SAMPLES)), at).alias("language"), code.alias("code"))
+    lines = F.coalesce(*(F.when(F.col("language") == name, F.size(retrieval.line_chunks(F.col("code"), name))) for name in _SAMPLES))
+    return rows.select("doc_id", "language", lines.alias("n_lines"), F.md5(F.array_join(retrieval.function_chunks(F.col("code"), F.col("language")), "|")).alias("digest"))
+
+
 @query("syntax_tokens")
 def syntax_tokens(spark, sf_dir):
     from quillspark.functions.rendering import syntax_tokens as tokens
