@@ -35,14 +35,15 @@ EVIDENCE = 9.0
 SEPARATORS = "/_="
 #: Ordinary words from which labelled identifiers are built.
 PLAIN = (
-    "account address alpha archive backup before block bridge build call category channel child client code column commit complete container control count "
+    "account address archive backup before block build call category channel child client code column commit complete container control count "
     "current database default depth device directory domain dynamic element encode error execute factory field final folder forward gateway global handler "
-    "height host index input instance internal iterator keyboard last length license link load logger machine manager mask maximum menu metadata minimum "
-    "mode monitor multiple network normal object operation origin package parallel parse path pending person pipeline player policy post previous print "
-    "product progress protocol public random read reference register remove replace require response return root rule schedule screen second select serial "
-    "session shape signal size socket source split standard static step stream style summary symbol target terminal thread title topic track transform type "
-    "update user variable view warning widget word wrapper zone thing other there where which while within without through nation there tion ment lich "
-    "schaft heit keit eaux elle ción mente"
+    "height host index input instance internal iterator last length license link load logger machine manager mask maximum menu metadata minimum "
+    "mode monitor multiple network normal object operation origin package parallel parse path pending pipeline policy post previous print "
+    "product progress protocol public random read reference register remove replace require response return root rule schedule second select serial "
+    "session signal size socket source split standard static step stream style summary symbol target terminal thread title topic track transform type "
+    "update user variable view warning widget word action available between boolean browser character collection compare connection content copyright create description digit document exception "
+    "expected extension feature filename function group header history identifier ignore implementation import information integer interface json language library local location message method module "
+    "multipart number option optional order parameter password permission position prefix priority property python query queue result sequence server service simple string structure system table template test timeout token unicode unknown value version write xml"
 )
 _SPAN = "array<struct<start:int,end:int,kind:string>>"
 _FOLD = "struct<at:int,part:int,start:int,sum:double,best:double,end:int,out:array<struct<start:int,end:int>>>"
@@ -51,20 +52,25 @@ _FOLD = "struct<at:int,part:int,start:int,sum:double,best:double,end:int,out:arr
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """text, random (boolean): n rows of each label, made by digests from a counter, so the size is fixed.
 
-    Random strings are base64, hexadecimal, upper-case and lower-case alphanumeric; ordinary ones are
-    snake case, camel case, capital constants, paths and plain words in a row."""
+    Random strings are base64 with and without marks, hexadecimal, upper-case and lower-case alphanumeric;
+    ordinary ones are snake case, camel case, capital constants, paths, assignments, plain words in a row,
+    names with numbers, dates and rules of one mark. Every letter is one of ALPHABET."""
     rows = spark.range(n).select("id", F.sha2(F.concat(F.lit("sample"), F.col("id")).cast("binary"), 256).alias("h"))
-    upper = F.translate(F.upper(F.substring(F.base64(F.unhex("h")), 1, 32)), "+/=", "QXZ")
-    noise = F.element_at(F.array(F.substring(F.base64(F.unhex("h")), 1, 40), F.substring("h", 1, 40), upper, F.lower(upper)), F.pmod("id", F.lit(4)).cast("int") + 1)
+    coded = F.base64(F.unhex("h"))
+    upper = F.translate(F.upper(F.substring(coded, 1, 32)), "+/=", "QXZ")
+    noises = [F.substring(coded, 1, 40), F.translate(F.substring(coded, 1, 40), "+/=", "aZ7"), F.translate(F.substring(coded, 4, 36), "+/=", "Kq4"), F.substring("h", 1, 40), upper, F.lower(upper)]
+    number = lambda i: F.conv(F.substring("h", i * 8 + 1, 7), 16, 10).cast("long")
     words = F.array(*map(F.lit, PLAIN.split()))
-    pick = lambda i: F.element_at(words, (F.pmod(F.conv(F.substring("h", i * 8 + 1, 7), 16, 10).cast("long"), F.lit(len(PLAIN.split()))) + 1).cast("int"))
-    w = [pick(i) for i in range(4)]
-    tail = F.pmod("id", F.lit(97)).cast("string")
-    plain = F.element_at(
-        F.array(F.concat_ws("_", *w[:3]), F.concat(w[0], *(F.initcap(x) for x in w[1:])), F.upper(F.concat_ws("_", *w[:3])), F.concat_ws("/", *w), F.concat(*w), F.concat_ws("_", w[0], w[1], tail)),
-        F.pmod("id", F.lit(6)).cast("int") + 1,
-    )
-    return rows.select(noise.alias("text"), F.lit(True).alias("random")).unionByName(rows.select(plain.alias("text"), F.lit(False).alias("random")))
+    w = [F.element_at(words, (F.pmod(number(i), F.lit(len(PLAIN.split()))) + 1).cast("int")) for i in range(4)]
+    some = lambda i, m: F.pmod(number(i), F.lit(m)).cast("string")
+    camel = lambda *x: F.concat(*(F.initcap(y) for y in x))
+    date = F.concat_ws("/", F.concat(F.lit("20"), F.lpad(some(4, 40), 2, "0")), F.lpad(some(5, 12), 2, "0"), F.lpad(some(6, 31), 2, "0"), F.lpad(some(7, 24), 2, "0"))
+    plains = [
+        F.concat_ws("_", *w[:3]), F.concat(w[0], camel(*w[1:])), F.upper(F.concat_ws("_", *w[:3])), F.concat_ws("/", *w), F.concat(*w[:3]), F.concat_ws("_", w[0], w[1], some(2, 97)), camel(*w[:3]),
+        F.concat(w[0], F.lit("="), w[1], F.lit("/"), w[2]), F.concat(F.upper(F.substring(w[0], 1, 3)), camel(w[1], w[2]), some(3, 10)), date, F.repeat(F.substring(F.lit("_=/+"), (F.pmod(number(0), F.lit(4)) + 1).cast("int"), F.lit(1)), 20), F.concat(some(0, 10**9), some(1, 10**9), some(2, 10**9)),
+    ]
+    of = lambda kinds: F.element_at(F.array(*kinds), F.pmod("id", F.lit(len(kinds))).cast("int") + 1)
+    return rows.select(of(noises).alias("text"), F.lit(True).alias("random")).unionByName(rows.select(of(plains).alias("text"), F.lit(False).alias("random")))
 
 
 def train_ratios(samples: DataFrame, smooth: float = 2.0) -> list[float]:
