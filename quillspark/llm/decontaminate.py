@@ -335,7 +335,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def filter_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, all columns kept."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
-    found = _decide(keyed, benchmark).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    # written, so that its size is known before the join and the documents are shuffled only where it is large
+    found = shared.written(_decide(keyed, benchmark).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "leak-documents")
     same = docs.doc_id.cast("long").eqNullSafe(found._id) & (F.xxhash64(docs.text.cast("string")) == found._digest)
     return docs.join(found, same, "left_anti")
 
