@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +46,18 @@ class FixedClient:
 
 @dataclass
 class Policy:
-    """Retries with growing waits; an empty answer is retried too. interval is between calls of one partition."""
+    """Retries with growing waits; an empty answer is retried too.
+
+    interval is the least time between the starts of two calls of the whole run, however many tasks it has;
+    threads are the calls that a task keeps open at once; serial runs one call after the other in one task,
+    with a pause after each."""
 
     tries: int = 5
     longest_wait: float = 30.0
     interval: float = 0.0
+    threads: int = 1
+    serial: bool = False
+    pause: float = 0.0
     sleep: Callable[[float], None] = field(default=time.sleep)
 
     def wait(self, attempt: int) -> float:
@@ -70,23 +80,53 @@ def ask_with_retries(client: ModelClient, prompt: str, images: list[bytes], poli
     return {"output": "", "prompt_tokens": 0, "completion_tokens": 0, "finish_reason": None, "error": error}
 
 
+class Pace:
+    """Starts of calls of one task: its share of the run's rate, beginning at its own turn."""
+
+    def __init__(self, interval: float, tasks: int, task: int, sleep: Callable[[float], None], clock: Callable[[], float] = time.monotonic):
+        self.every, self.sleep, self.clock, self.lock = interval * tasks, sleep, clock, threading.Lock()
+        self.allowed = clock() + interval * task
+
+    def turn(self) -> None:
+        """Wait until the next call may start."""
+        if not self.every:
+            return
+        with self.lock:
+            now = self.clock()
+            wait = self.allowed - now
+            self.allowed = max(now, self.allowed) + self.every
+        if wait > 0:
+            self.sleep(wait)
+
+
 def ask_rows(rows: DataFrame, make_client: Callable[[], ModelClient], policy: Policy | None = None, prompt: str = "prompt", images: str | None = None) -> DataFrame:
-    """rows with the answer columns added; each partition makes its own client and keeps its own pace."""
+    """rows with the answer columns added; each task makes its own client and keeps its share of the pace.
+
+    Where a pace is set, there are no more tasks than run at once, so that their shares add up to it."""
     policy = policy or Policy()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + ANSWER
     names = [c.split()[0] for c in ANSWER.split(", ")]
+    tasks = 1 if policy.serial else rows.sparkSession.sparkContext.defaultParallelism
+    if policy.serial or policy.interval:
+        rows = rows.coalesce(tasks)
+    threads = 1 if policy.serial else max(1, policy.threads)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, allowed = make_client(), 0.0
-        for pdf in batches:
-            made = []
-            for i in range(len(pdf)):
-                now = time.monotonic()
-                if now < allowed:
-                    policy.sleep(allowed - now)
-                allowed = max(now, allowed) + policy.interval
-                made.append(ask_with_retries(client, pdf[prompt].iloc[i] or "", list(pdf[images].iloc[i]) if images else [], policy))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1)
+        client = make_client()
+        pace = Pace(policy.interval, tasks, TaskContext.get().partitionId() % tasks, policy.sleep)
+
+        def one(case):
+            pace.turn()
+            got = ask_with_retries(client, case[0] or "", list(case[1]), policy)
+            if policy.serial and policy.pause:
+                policy.sleep(policy.pause)
+            return got
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                cases = zip(pdf[prompt], pdf[images] if images else ([] for _ in range(len(pdf))), strict=True)
+                made = list(pool.map(one, cases))
+                yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(made, columns=names)], axis=1)
 
     return rows.mapInPandas(run, schema)
 
