@@ -143,12 +143,12 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
-def rewrite(text: str) -> Rewritten | None:
-    """The text without disguises, or None if it has none."""
+def rewrite(text: str, spelled: bool = True) -> Rewritten | None:
+    """The text without disguises, spelled digits only where asked for, or None if it has none."""
     out = Rewritten(text)
     if not text.isascii() and _LOOKS.search(text):
         out.replace([(m.start(), m.end(), _plain(m[0])) for m in _LOOKS.finditer(text)])
-    if _ONE.search(out.text):
+    if spelled and _ONE.search(out.text):
         out.replace([e for m in _SPELL.finditer(out.text) if _ONE.search(m[0]) for e in _spelled(m)])
     if "plus" in out.text.translate(_FOLD).lower():
         out.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(out.text)])
@@ -171,16 +171,16 @@ def find_spans(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, disguised) by kind as listed, then start."""
     base = detect(text)
     out = {k: [(a, b, False) for a, b in base[k]] for k in KINDS}
-    clear = rewrite(text)
-    if clear is not None:
-        for k, spans in detect(clear.text).items():
-            floor = 0
+    # a number word next to an identifier must not become part of it, so the text is read without spelled digits first
+    plain = rewrite(text, False)
+    full = rewrite(text) if _ONE.search(plain.text if plain else text) else None
+    for clear in (plain, full if full and not (plain and full.text == plain.text) else None):
+        for k, spans in (detect(clear.text) if clear else {}).items():
             for a, b in spans:
                 s, e = clear.source(a, b)
-                i = bisect_left(base[k], (e,))  # base spans are sorted and apart: only the one before e can touch
-                if s >= floor and not (i and base[k][i - 1][1] > s):
-                    out[k].append((s, e, True))
-                    floor = e
+                i = bisect_left(out[k], (e,))  # the spans so far are sorted and apart: only the one before e can touch
+                if not (i and out[k][i - 1][1] > s):
+                    out[k].insert(i, (s, e, True))
     return [(k, *span) for k in KINDS for span in sorted(out[k])]
 
 
