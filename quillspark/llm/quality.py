@@ -2,7 +2,7 @@
 
 Trusted positives are the texts whose label is 1; label 0 is never read. Unlabelled web text is a sample of
 the documents themselves. The class prior is estimated, by the best bin: a discriminator of positives and
-unlabelled texts is fitted on one half and scores the other, and the prior is the share of unlabelled texts
+unlabelled texts is fitted on four fifths and scores the fifth, and the prior is the share of unlabelled texts
 over the share of positives above the threshold where the upper confidence bound of that ratio is least.
 A small network over text statistics then minimises prior*R_p(+) + max(0, R_u(-) - prior*R_p(-)) with the
 logistic loss; where the bracket turns negative, its gradient is reversed.
@@ -139,16 +139,17 @@ def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, g
     return float(np.clip(q_u[at] / q_p[at], 0.02, 0.98))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Class prior of the unlabelled texts: each half is scored by a discriminator fitted on the other."""
-    if len(positive) < 4 or len(unlabelled) < 4:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, parts: int = 5, decay: float = 3e-3) -> float:
+    """Class prior of the unlabelled texts: each part is scored by a discriminator fitted on the others."""
+    if len(positive) < 2 * parts or len(unlabelled) < 2 * parts:
         return 0.5
     scores = [np.empty(len(positive)), np.empty(len(unlabelled))]
-    for odd in (0, 1):
+    for k in range(parts):
+        own = [np.arange(len(x)) % parts == k for x in (positive, unlabelled)]
         model = Model(0.5, positive.shape[1])
-        model.fit(positive[odd::2], unlabelled[odd::2], discriminating_gradient, steps=150)
-        for out, x in zip(scores, (positive, unlabelled), strict=True):
-            out[1 - odd :: 2] = model.logits(model.standard(x[1 - odd :: 2]))[0]
+        model.fit(positive[~own[0]], unlabelled[~own[1]], discriminating_gradient, steps=100, decay=decay)
+        for out, x, part in zip(scores, (positive, unlabelled), own, strict=True):
+            out[part] = model.logits(model.standard(x[part]))[0]
     return best_bin(*scores)
 
 
