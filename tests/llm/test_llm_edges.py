@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 import zlib
-from collections import defaultdict
+from collections import defaultdict, namedtuple
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -105,6 +107,70 @@ def test_language_model_without_training_rows(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.held_out) == (3, 0, 0, 0.0, True)
 
 
+def test_language_model_costs_few_sorts(monkeypatch):
+    """All levels of a chunk together take less CPU than some sorts of its tokens' hashes, on any machine."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens = np.minimum(np.random.default_rng(3).zipf(1.3, 400_000), 60_000)
+    texts = [" ".join(map(str, row)) for row in tokens.reshape(400, 1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(400)], "text": texts, "train": [i % 10 != 0 for i in range(400)]})
+    monkeypatch.setattr("pyspark.TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    chunk = pa.Table.from_batches(lm_scoring._pack(1 << 30)(iter([batch])))
+    hashes = np.array([xxhash.xxh64_intdigest(str(w)) for w in range(60_001)], np.uint64)[tokens]
+    stat = namedtuple("stat", "c n d a t")
+
+    def run():
+        rules, sums = lm_scoring.Rules(1, 20, 0.02, 3, 10**6), None
+        for level in range(4):
+            c = lm_scoring.Chunk(chunk, rules)
+            if level:
+                c.replay(sums, level)
+            c.entries(level)
+            got = lm_scoring._adder(rules, level)((pa.scalar(0),), c.sent(5))
+            rules.learn([stat(**x) for x in got["stats"].to_pylist()[-1]])
+            got = got.filter(pc.equal(got["chunk"], 5)).drop(["stats"])
+            sums = got if sums is None else pa.concat_tables([sums, got])
+        return lm_scoring._scorer(rules)((pa.scalar(5),), chunk, sums)
+
+    def least(f):
+        spent = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            spent.append(time.process_time() - began)
+        return min(spent)
+
+    assert pc.sum(run()["deep_tokens"]).as_py() > 10_000
+    assert least(run) < 14 * least(lambda: np.unique(hashes, return_index=True, return_inverse=True))
+
+
+def test_language_model_leaves_no_shuffle_files(spark, docs):
+    """Each written level frees what it shuffled at once, and the session's setting is as before."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in manager.getAllBlocks().mkString(" ").split() if x.startswith("shuffle")}
+    rows = spark.createDataFrame(docs.collect(), docs.schema)
+    before = held()
+    out = lm_scoring.score(rows, least=5)
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == rows.count()
+    assert spark.conf.get(lm_scoring.CLEANUP, None) is None
+
+
+def test_language_model_pairs_and_planes():
+    rng = np.random.default_rng(5)
+    for most in (3, 2**20, 2**40):  # the last does not fit beside its place
+        high, low = rng.integers(0, most, 5000), rng.integers(0, 1 << 16, 5000)
+        pair, order = lm_scoring._ordered(high, low, 16)
+        assert sorted(order) == [*range(5000)] and (pair == np.sort(high << 16 | low)).all() and ((high << 16 | low)[order] == pair).all()
+    rows = [np.array(x, np.int64) for x in ([], [0], [255, 256], [2**40, 0, 7], [])]
+    assert (lm_scoring._thick([lm_scoring._thin(x) for x in rows]) == np.concatenate(rows)).all()
+    assert len(lm_scoring._thick([])) == 0
+
+
 def test_simhash(docs, empty):
     rows = docs.collect()
 
