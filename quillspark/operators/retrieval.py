@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ast
+import math
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -137,42 +140,79 @@ def context_by_similarity(ranked: DataFrame, by: str = "id") -> DataFrame:
     return ranked.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda c: c["text"]), "\n\n").alias("context"))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """rows(id, vec), queries(id, vec) to (query_id, id, similarity, rank): exact, in blocks of queries.
-
-    A block of at most ``block`` query vectors meets every row in numpy; each batch keeps k rows a query, so
-    what is shuffled is k rows per query and batch. A query never finds itself."""
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    out = None
-    held: list = []
-
-    def run(block_rows):
-        ids = np.array([r[0] for r in block_rows], np.int64)
-        q = np.array([r[1] for r in block_rows], np.float64)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def best(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf["vec"].to_numpy())
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                own = pdf["id"].to_numpy()
-                sims = np.round(q @ v.T, 9)
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, : k]
-                value = np.take_along_axis(sims, order, axis=1)
-                keep = np.isfinite(value)
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[keep.ravel()], "id": own[order].ravel()[keep.ravel()], "similarity": value.ravel()[keep.ravel()]})
-
-        return rows.mapInPandas(best, "query_id long, id long, similarity double")
-
-    for r in queries.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            out, held = run(held) if out is None else out.unionByName(run(held)), []
-    if held or out is None:
-        got = run(held) if held else rows.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
-        out = got if out is None else out.unionByName(got)
+#: Bytes of vectors, as doubles, in one side of a tile, and similarities that are held at once.
+TILE_BYTES, SLAB = 16 << 20, 1 << 20
+
+
+def _unit_vectors(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and unit vectors of a table, by id; a zero vector stays."""
+    ids, flat = side["id"].to_numpy(), pc.list_flatten(side["vec"]).to_numpy().astype(np.float64)
+    if side["vec"].null_count or len(flat) % len(ids) or not (pc.list_value_length(side["vec"]).to_numpy() == len(flat) // len(ids)).all():
+        raise ValueError("vectors must be of one length")
+    order, v = np.argsort(ids, kind="stable"), flat.reshape(len(ids), -1)
+    return ids[order], (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300))[order]
+
+
+def nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, slab: int = SLAB) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query id, id and similarity of the k rows most similar to each query; unit vectors, both sides by id.
+
+    Similarities have nine digits and ties go to the lesser id. At most ``slab`` of them exist at a time: each
+    slab leaves those that reach what is the k-th best so far."""
+    high = max(1, min(len(q), 256, slab))
+    wide, out = max(1, slab // high), []
+    for a in range(0, len(q), high):
+        own, block = query_ids[a : a + high], q[a : a + high]
+        n = len(own)
+        least, last = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+        at, to, value = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for b in range(0, len(v), wide):
+            part = ids[b : b + wide]
+            sims = block @ v[b : b + wide].T
+            low, top = np.searchsorted(part, own), np.searchsorted(part, own, "right")
+            for i in np.flatnonzero(top > low):
+                sims[i, low[i] : top[i]] = -np.inf
+            seen = sims >= least[:, None] - 1e-9
+            if k < len(part) and np.count_nonzero(seen) > 8 * k * n:  # no good bound yet: the slab's own k-th best is one
+                np.nan_to_num(sims, copy=False, nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
+                seen = sims >= np.maximum(np.partition(sims, -k, axis=1)[:, -k], least)[:, None] - 1e-9
+            i, j = np.nonzero(seen)
+            s, j = np.round(sims[i, j], 9), part[j]
+            good = np.isfinite(s) & ((s > least[i]) | ((s == least[i]) & (j < last[i])))
+            at, to, value = np.concatenate([at, i[good]]), np.concatenate([to, j[good]]), np.concatenate([value, s[good]])
+            order = np.lexsort((to, -value, at))
+            at, to, value = at[order], to[order], value[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            keep = rank < k
+            at, to, value, rank = at[keep], to[keep], value[keep], rank[keep]
+            full = rank == k - 1
+            least[at[full]], last[at[full]] = value[full], to[full]
+        out.append((own[at], to, value))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """rows(id, vec), queries(id, vec) to (query_id, id, similarity, rank): exact, in tiles of queries and rows.
+
+    Both sides are dealt by their ids to parts of at most about TILE_BYTES of vectors (``block`` sets the queries of a part);
+    each pair of parts meets in one task, in slabs, and keeps k rows a query. The driver counts and holds no vector.
+    A query never finds itself; a row without an id is none's."""
+    spark = rows.sparkSession
+    rows, queries = (d.select(F.col("id").cast("long").alias("id"), "vec").where("id IS NOT NULL") for d in (rows, queries))
+    n, size = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    per = max(1, TILE_BYTES // (8 * max(size or 1, 2 * k)))
+    blocks = max(1, math.ceil(queries.count() / (block or per)))
+    parts = max(math.ceil(n / per), min(math.ceil(n / 1024), math.ceil(2 * spark.sparkContext.defaultParallelism / blocks)), 1)
+    deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = queries.select("id", "vec", deal(blocks).alias("block"), every(parts).alias("part"))
+    found = rows.select("id", "vec", every(blocks).alias("block"), deal(parts).alias("part"))
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if len(left) and len(right):
+            got = nearest(*_unit_vectors(left), *_unit_vectors(right), k)
+        return pa.table(dict(zip(("query_id", "id", "similarity"), got, strict=True)))
+
+    out = asked.groupBy("block", "part").cogroup(found.groupBy("block", "part")).applyInArrow(tile, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
