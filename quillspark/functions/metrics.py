@@ -61,7 +61,13 @@ def _banded(a, b, where: dict, most: int) -> int | None:
 
 
 def bit_distance(a, b) -> int:
-    """Edit distance of two sequences: bit vectors (Myers, Hyyro) in a band that widens until it holds the answer."""
+    """Edit distance of two sequences: bit vectors (Myers, Hyyro) in a band that widens until it holds the answer.
+
+    Where the shorter one is the longer one with elements left out, one pass gives it: the difference in length."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    rest = iter(long)
+    if all(c in rest for c in short):
+        return len(long) - len(short)
     n = min(len(a), len(b))
     start = 0
     while start < n and a[start] == b[start]:

@@ -69,8 +69,8 @@ def _document_reading(spark, sf_dir):
 @query("ocr_cer_documents")
 def ocr_cer_documents(spark, sf_dir):
     """Whole documents: bit-parallel distance, which SQL engines lack."""
-    rows = _document_reading(spark, sf_dir)
-    return rows.select("doc_id", F.round(metrics.cer(X.without_blank_lines(F.col("code")), X.without_blank_lines(F.col("text"))), 6).alias("cer"))
+    rows = _document_reading(spark, sf_dir).select("doc_id", X.without_blank_lines(F.col("code")).alias("code"), X.without_blank_lines(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.round(metrics.cer(F.col("code"), F.col("text")), 6).alias("cer"))
 
 
 @query("ocr_wer_documents")

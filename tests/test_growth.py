@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 
+from quillspark.functions import metrics as M
 from quillspark.operators import retrieval
 
 
@@ -46,3 +47,15 @@ def test_top_k_memory_is_bounded():
         sims = np.round(v @ q[i], 9)
         sims[i] = -np.inf
         assert to[at == i].tolist() == np.lexsort((np.arange(20000), -sims))[:3].tolist()
+
+
+def test_omissions_need_no_band(monkeypatch):
+    """Text with omissions only takes one pass, either way round; other pairs still meet the bands."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefgh .,") for _ in range(60_000))
+    less = text.replace("ab", "a").replace(",", "")
+    with monkeypatch.context() as m:
+        m.setattr(M, "_letter_bits", None)
+        assert M.bit_distance(text, less) == M.bit_distance(less, text) == len(text) - len(less)
+        assert M.bit_distance(text, text) == 0 and M.bit_distance("", text) == len(text)
+    assert M.bit_distance(text, text[:100] + "#" + text[101:30_000] + "##" + text[30_002:]) == 3
