@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
@@ -98,21 +98,33 @@ def bit_distance(a, b) -> int:
     return len(b) + plus.bit_count() - minus.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def _each_pair(a: pa.Array, b: pa.Array, measure, kind: pa.DataType) -> pa.Array:
+    """measure of each pair; no more than one pair at a time becomes Python strings."""
+    pairs = ((x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True))
+    return pa.array((None if x is None or y is None else measure(x, y) for x, y in pairs), kind, size=len(a))
 
 
-@F.pandas_udf(IntegerType())
-def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(IntegerType())
+def _long_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _each_pair(a, b, bit_distance, pa.int32())
+
+
+@F.arrow_udf(IntegerType())
+def word_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Edit distance over words; exact for any number of distinct words."""
-    return pd.Series([None if x is None or y is None else bit_distance(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return _each_pair(a, b, lambda x, y: bit_distance(x.split(), y.split()), pa.int32())
+
+
+def _line_similarity(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    return difflib.SequenceMatcher(None, a.split("\n") if a else [], b.split("\n") if b else []).ratio()
 
 
-@F.pandas_udf(DoubleType())
-def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def line_similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Twice the matching lines over all lines, by longest matching blocks."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.split("\n") if x else [], y.split("\n") if y else []).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _each_pair(a, b, _line_similarity, pa.float64())
 
 
 def edit_distance(a: Column, b: Column, any_length: bool = True) -> Column:

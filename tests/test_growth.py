@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from quillspark.functions import metrics as M
 from quillspark.operators import retrieval
@@ -59,3 +60,15 @@ def test_omissions_need_no_band(monkeypatch):
         assert M.bit_distance(text, less) == M.bit_distance(less, text) == len(text) - len(less)
         assert M.bit_distance(text, text) == 0 and M.bit_distance("", text) == len(text)
     assert M.bit_distance(text, text[:100] + "#" + text[101:30_000] + "##" + text[30_002:]) == 3
+
+
+def test_text_measures_hold_one_pair():
+    """A batch of 80 MB of text is measured without a copy of it in Python."""
+    a = pa.array(["some words of one line\nand of another " * 1000] * 1000)
+    for measure in (M._long_distance, M.word_distance, M.line_similarity):
+        tracemalloc.start()
+        got = measure.func(a, a)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == 1000 and len(set(got.to_pylist() if isinstance(got, pa.Array) else got)) == 1
+        assert peak < 8 << 20
