@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
@@ -42,18 +42,70 @@ def color_below(kind: str, theme: dict) -> str:
     return next((c for k, c in theme.items() if path == k or path.startswith(k + ".")), "#000000")
 
 
-def coloured(code: str, language: str | None, theme: dict, color=color_of) -> list[dict]:
+def _spans(code: str, language: str | None, color, lexers: dict):
+    """Pairs of text and color(kind); lexers keeps those of the languages seen."""
     try:
         from pygments import lex
         from pygments.lexers import get_lexer_by_name, guess_lexer
         from pygments.util import ClassNotFound
     except ImportError:
-        return [{"text": code, "color": "#000000"}]
-    try:
-        lexer = get_lexer_by_name(language) if language else guess_lexer(code)
-    except ClassNotFound:
-        lexer = get_lexer_by_name("python")
-    return [{"text": t, "color": color(str(kind), theme)} for kind, t in lex(code, lexer)]
+        return [(code, "#000000")]
+    lexer = lexers.get(language)
+    if lexer is None:
+        try:
+            lexer = get_lexer_by_name(language) if language else guess_lexer(code)
+        except ClassNotFound:
+            lexer = get_lexer_by_name("python")
+        if language:
+            lexers[language] = lexer
+    return ((t, color(kind)) for kind, t in lex(code, lexer))
+
+
+class _Colors(dict):
+    """Token kinds to their colours, each found once."""
+
+    def __init__(self, theme: dict, color):
+        super().__init__()
+        self.find = lambda kind: color(str(kind), theme)
+
+    def __missing__(self, kind) -> str:
+        value = self[kind] = self.find(kind)
+        return value
+
+
+def coloured(code: str, language: str | None, theme: dict, color=color_of) -> list[dict]:
+    return [{"text": t, "color": c} for t, c in _spans(code, language, _Colors(theme, color).__getitem__, {})]
+
+
+#: Tokens that are Python objects at a time; those before them are Arrow's.
+PIECE = 1 << 15
+
+
+def token_array(code: pa.Array, language: pa.Array, theme: dict, color=color_of) -> pa.Array:
+    """The coloured tokens of each row as an Arrow list, text by text; null for null."""
+    colors, lexers = _Colors(theme, color).__getitem__, {}
+    ends, missing, texts, shades, held, held_shades = [0], [], [], [], [], []
+
+    def pack():
+        texts.append(pa.array(held, pa.string()))
+        shades.append(pa.array(held_shades, pa.string()))
+        held.clear()
+        held_shades.clear()
+
+    n = 0
+    for c, lang in zip(code, language, strict=True):
+        c = c.as_py()
+        missing.append(c is None)
+        for t, shade in () if c is None else _spans(c, lang.as_py(), colors, lexers):
+            held.append(t)
+            held_shades.append(shade)
+            n += 1
+            if len(held) >= PIECE:
+                pack()
+        ends.append(n)
+    pack()
+    fields = [pa.concat_arrays(texts), pa.concat_arrays(shades)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["text", "color"]), mask=pa.array(missing, pa.bool_()))
 
 
 def syntax_tokens(theme: str = "light", variant: str = "a"):
@@ -61,9 +113,9 @@ def syntax_tokens(theme: str = "light", variant: str = "a"):
     chosen = {"a": (LIGHT, MODERN), "b": (LIGHT_B, MODERN_B)}[variant][theme == "modern"]
     color = color_of if variant == "a" else color_below
 
-    @F.pandas_udf(TOKEN)
-    def run(code: pd.Series, language: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else coloured(c, lang, chosen, color) for c, lang in zip(code, language, strict=True)])
+    @F.arrow_udf(TOKEN)
+    def run(code: pa.Array, language: pa.Array) -> pa.Array:
+        return token_array(code, language, chosen, color)
 
     return run
 

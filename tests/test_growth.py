@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from quillspark.functions import metrics as M
+from quillspark.functions import rendering as R
 from quillspark.operators import retrieval
 
 
@@ -72,3 +73,24 @@ def test_text_measures_hold_one_pair():
         tracemalloc.stop()
         assert len(got) == 1000 and len(set(got.to_pylist() if isinstance(got, pa.Array) else got)) == 1
         assert peak < 8 << 20
+
+
+def test_token_array(monkeypatch):
+    """Arrow's tokens are those of the lexer, row by row, and few of a batch's tokens are Python objects at a time."""
+    from pygments import lex
+    from pygments.lexers import get_lexer_by_name, guess_lexer
+
+    code = ["def f(x):\n    # note\n    return 'a'", None, "", "int main() { return 0; }", "x = 1", "#!/usr/bin/python\nimport os", None, "class C: pass"]
+    names = ["python", "python", "python", "cpp", "nosuch", None, None, "python"]
+    lexer = lambda c, n: get_lexer_by_name({"nosuch": "python"}.get(n, n)) if n else guess_lexer(c)
+    for piece in (2, 1 << 15):
+        monkeypatch.setattr(R, "PIECE", piece)
+        for theme, color in ((R.MODERN, R.color_of), (R.LIGHT_B, R.color_below)):
+            want = [None if c is None else [{"text": t, "color": color(str(kind), theme)} for kind, t in lex(c, lexer(c, n))] for c, n in zip(code, names, strict=True)]
+            assert R.token_array(pa.array(code, pa.string()), pa.array(names), theme, color).to_pylist() == want
+    batch = pa.array(["x = 1\n" * 500] * 100)
+    tracemalloc.start()
+    got = R.syntax_tokens("modern").func(batch, pa.array(["python"] * 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 100 and sum(map(len, got)) >= 300_000 and peak < 16 << 20
