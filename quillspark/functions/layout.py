@@ -139,7 +139,7 @@ def layout_pages(sizes: Column, res: Column, font: Column, line_height: float =
     area = res - 2 * margin
     c = F.greatest(F.lit(1), _int(area / (font * CHAR_WIDTH)))
     m = F.greatest(F.lit(1), _int(area / F.greatest(F.lit(1), _int(font * line_height))))
-    wraps = F.aggregate(sizes, F.lit(0).cast("long"), lambda s, n: s + F.greatest(F.lit(0), F.ceil(n / c) - 1))
+    wraps = let(c, lambda w: F.aggregate(sizes, F.lit(0).cast("long"), lambda s, n: s + F.greatest(F.lit(0), F.ceil(n / w) - 1)))
     turns = wraps + F.size(sizes) - 1
     return (1 + F.floor(turns / m)).cast("long"), F.pmod(turns, m).cast("long")
 
@@ -149,11 +149,11 @@ def max_font(sizes: Column, res: Column, pages: Column) -> Column:
 
     def halve(acc, _):
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("long")
-        fits = layout_pages(sizes, res, mid)[0] <= pages
-        open_ = acc["lo"] <= acc["hi"]
-        return F.struct(
-            F.when(open_ & fits, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~fits, mid - 1).otherwise(acc["hi"]).alias("hi"), F.when(open_ & fits, mid).otherwise(acc["best"]).alias("best"),
-        )
+        return F.when(acc["lo"] > acc["hi"], acc).otherwise(let(mid, lambda f: step(acc, f)))
+
+    def step(acc, f):
+        lower = F.struct(acc["lo"].alias("lo"), (f - 1).alias("hi"), acc["best"].alias("best"))
+        return F.when(layout_pages(sizes, res, f)[0] <= pages, F.struct((f + 1).alias("lo"), acc["hi"].alias("hi"), f.alias("best"))).otherwise(lower)
 
     start = F.struct(F.lit(MIN_FONT).cast("long").alias("lo"), F.lit(MAX_FONT).cast("long").alias("hi"), F.lit(MIN_FONT).cast("long").alias("best"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, halve, lambda a: a["best"])

@@ -139,9 +139,9 @@ def search_fitted(docs: DataFrame, page_limit: int = 100) -> DataFrame:
     found = docs.select("k", "sizes", "num_lines", "max_line_chars").join(best, "k", "left")
     first = L.optimal_font(F.col("res"), F.col("pages"), F.col("num_lines"), F.col("max_line_chars"))
     found = found.select("k", "sizes", F.coalesce("res", F.lit(112)).alias("res"), F.coalesce("pages", F.lit(1)).alias("pages"), F.when(F.col("res").isNotNull(), first).alias("f"))
-    fitted = L.max_font(F.col("sizes"), F.col("res"), F.col("pages"))
-    fits = L.layout_pages(F.col("sizes"), F.col("res"), fitted)[0] <= F.col("pages")
-    return found.select("k", "res", F.when(fits, fitted).otherwise(F.coalesce("f", F.lit(3))).cast("int").alias("font"), "pages")
+    found = found.withColumn("fitted", L.max_font(F.col("sizes"), F.col("res"), F.col("pages")))
+    fits = L.layout_pages(F.col("sizes"), F.col("res"), F.col("fitted"))[0] <= F.col("pages")
+    return found.select("k", "res", F.when(fits, F.col("fitted")).otherwise(F.coalesce("f", F.lit(3))).cast("int").alias("font"), "pages")
 
 
 def plan_ratios(docs: DataFrame, ratios=(1.0, 2.0, 4.0, 8.0), search=search_b) -> DataFrame:

@@ -5,7 +5,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from quillspark.functions import layout as L
 from quillspark.functions import metrics as M
 from quillspark.functions import rendering as R
 from quillspark.operators import retrieval
@@ -94,3 +96,27 @@ def test_token_array(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 100 and sum(map(len, got)) >= 300_000 and peak < 16 << 20
+
+
+def test_max_font_reads_the_lines_once_a_step(spark):
+    rng = random.Random(13)
+    rows = [([rng.choice((0, 1, 9, 40, 200)) for _ in range(rng.randint(1, 40))], rng.choice((14, 112, 448, 896)), rng.randint(1, 6)) for _ in range(40)] + [(None, 112, 1)]
+    d = spark.createDataFrame(rows, "sizes array<int>, res int, pages int")
+    font = L.max_font(F.col("sizes"), F.col("res"), F.col("pages"))
+    plan = d.select(font.alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2  # the steps and, in each, the lines
+
+    def needed(sizes, res, font):
+        area = res - 2 * int(res * 0.01)
+        c, m = max(1, int(area / (font * 0.6))), max(1, int(area / font))
+        return 1 + (sum(max(0, -(-n // c) - 1) for n in sizes) + len(sizes) - 1) // m
+
+    for r in d.withColumn("f", font).collect():
+        low, high, best = 4, 150, 4
+        while r.sizes is not None and low <= high:
+            mid = (low + high) // 2
+            if needed(r.sizes, r.res, mid) <= r.pages:
+                low, best = mid + 1, mid
+            else:
+                high = mid - 1
+        assert r.f == best
